@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackscan.llm.common import materialize
+
 #: A text node is template if it stands on at least this share of a host's pages, and on so many.
 SUPPORT, LEAST_PAGES = 0.5, 4
 #: Template text may take at most this share of a page's main slot: more is a host of copies.
@@ -265,9 +267,10 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     Tokens of a class have equal vectors and stand on the support share of the host's pages. A class
     nests in the class of the longest path that is a proper prefix of its own shortest one.
     """
-    every = occurrences(pages, url, html)
-    hosts = every.where("kind = 0").select("host", F.col("pages").alias("host_pages"))
-    often = every.where("kind > 0").join(hosts, "host").where((F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("host_pages") * SUPPORT))))
+    # most text nodes stand on one page alone: they go before anything meets by host
+    every = materialize(occurrences(pages, url, html).where((F.col("kind") == 0) | (F.col("pages") >= LEAST_PAGES)), "html-tokens")
+    hosts = materialize(every.where("kind = 0").select("host", F.col("pages").alias("host_pages")), "html-hosts")
+    often = every.where("kind > 0").join(hosts, "host").where(F.col("pages") >= F.ceil(F.col("host_pages") * SUPPORT))
     by_class = Window.partitionBy("host", "vector")
     tagged = often.withColumn("class_size", F.count("*").over(by_class)).withColumn("top", F.min(F.when(F.col("kind") == 1, F.struct(F.length("label").alias("n"), F.col("label").alias("path")))).over(by_class)["path"])
     classes = tagged.where("top IS NOT NULL").select("host", F.col("vector").alias("parent"), F.col("top").alias("above")).distinct()
@@ -316,7 +319,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     Only text tokens that are template change what is extracted, so these are joined, a list for each
     host; a host's list holds no more than its pages' own text nodes.
     """
-    found = templates(pages, url, html).where("kind = 2").groupBy("host").agg(F.collect_set("token").alias("_fixed"))
+    found = materialize(templates(pages, url, html).where("kind = 2").groupBy("host").agg(F.collect_set("token").alias("_fixed")), "html-fixed")
     def hosts(urls: pd.Series) -> pd.Series:
         return urls.map(host_of)
 
