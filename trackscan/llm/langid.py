@@ -178,7 +178,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             own += zip(strings(batch.column(0)), batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([train(own).dump()], pa.binary())], ["model"])
 
-    made = rows.where(chosen).select("t", "l").coalesce(1) if counts else rows.limit(0).select("t", "l").coalesce(1)
+    # the sample alone meets in one task; all tasks read the table
+    made = rows.where(chosen if counts else F.lit(False)).select("t", "l").repartition(1)
     found = made.mapInArrow(work, "model binary").collect()
     return bytes(found[0]["model"]) if found else train([]).dump()
 

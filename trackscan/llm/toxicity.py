@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))  # the same machine from any order
         yield pa.RecordBatch.from_arrays([pa.array([train([texts[i] for i in order], np.array([toxic[i] for i in order], bool)).dump()], pa.binary())], ["model"])
 
-    found = rows.coalesce(1).mapInArrow(work, "model binary").collect()
+    found = rows.repartition(1).mapInArrow(work, "model binary").collect()
     return bytes(found[0]["model"]) if found else train([], np.zeros(0, bool)).dump()
 
 
