@@ -76,6 +76,12 @@ def test_query_matches_the_library_and_round_trips(request, library, name):
     assert Counter(map(tuple, bpe.query(table, RANKS).collect())) == Counter(expected)
 
 
+def test_decode_is_its_own_step(odd):
+    tokens = bpe.encode(odd, RANKS)
+    two = Counter((r["doc_id"], bytes(r["decoded"])) for r in bpe.decode(tokens, RANKS).collect())
+    assert two == Counter((r["doc_id"], (r["text"] or "").encode()) for r in odd.collect())
+
+
 @pytest.mark.parametrize("name", ["odd", "docs", "none"])
 def test_packing(request, tokenizer, name):
     table = request.getfixturevalue(name)

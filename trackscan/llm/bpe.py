@@ -290,60 +290,69 @@ def _pieces(column: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(column))]).cast(pa.binary())
 
 
+def encode_batches(batches: Iterator[pa.RecordBatch], vocab_path: str) -> Iterator[pa.RecordBatch]:
+    """(key, n_tokens, ids, offsets) batches of (key, text) batches."""
+    own, vocab = encoder(vocab_path), vocabulary(vocab_path)
+    for batch in batches:
+        texts = strings(batch.column(1))
+        for a, b in tv.slices(texts):
+            ids, counts = own.encode(texts[a:b])
+            lengths = vocab.lengths[ids]
+            upto = np.cumsum(lengths) - lengths
+            heads = np.cumsum(counts) - counts
+            base = np.zeros(len(counts), np.int64)
+            full = counts > 0
+            base[full] = upto[heads[full]]
+            offsets = upto - np.repeat(base, counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), _pieces(ids.astype("<u4"), counts), _pieces(offsets.astype("<u4"), counts)], ["key", "n_tokens", "ids", "offsets"])
+
+
+def decode_batches(batches: Iterator[pa.RecordBatch], vocab_path: str) -> Iterator[pa.RecordBatch]:
+    """Batches with `decoded` after their columns: the bytes of `ids`, each token's at its offset."""
+    vocab = vocabulary(vocab_path)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            ids, offsets = ([np.frombuffer(x or b"", "<u4") for x in part.column(c).to_pylist()] for c in ("ids", "offsets"))
+            counts = np.array([len(x) for x in ids], np.int64)
+            ids, offsets = np.concatenate(ids).astype(np.int64), np.concatenate(offsets).astype(np.int64)
+            lengths = vocab.lengths[ids]
+            size = np.zeros(len(counts), np.int64)
+            full = counts > 0
+            size[full] = (offsets + lengths)[np.cumsum(counts)[full] - 1]
+            at = np.repeat(np.cumsum(size) - size, counts) + offsets
+            buffer = np.zeros(int(size.sum()), np.uint8)
+            spread = np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            buffer[spread] = take_ranges(vocab.bytes, vocab.starts[ids], lengths)
+            yield pa.RecordBatch.from_arrays([*part.columns, _pieces(buffer, size)], [*part.schema.names, "decoded"])
+
+
+def _source(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint, ids binary, offsets binary"
+
+
 def encode(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids and offsets of each row: two binaries of little-endian unsigned 32-bit
     numbers, the ids and the byte of the text's UTF-8 form at which each token begins."""
-    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = source.schema["k"].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vocab = encoder(vocab_path), vocabulary(vocab_path)
-        for batch in batches:
-            texts = strings(batch.column(1))
-            for a, b in tv.slices(texts):
-                ids, counts = own.encode(texts[a:b])
-                lengths = vocab.lengths[ids]
-                upto = np.cumsum(lengths) - lengths
-                ends = np.cumsum(counts)
-                heads = ends - counts
-                base = np.zeros(len(counts), np.int64)
-                full = counts > 0
-                base[full] = upto[heads[full]]
-                offsets = upto - np.repeat(base, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), _pieces(ids.astype("<u4"), counts), _pieces(offsets.astype("<u4"), counts)], ["k", "n_tokens", "ids", "offsets"])
-
-    return source.mapInArrow(work, f"k {kind}, n_tokens bigint, ids binary, offsets binary").withColumnRenamed("k", key)
-
-
-def decode(tokens: DataFrame, vocab_path: str, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns to keep, and `decoded`: the bytes of ids, each token's at its offset."""
-    columns = [key, "ids", "offsets", *keep]
-    kinds = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in (key, *keep))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows = [(np.frombuffer(x or b"", "<u4"), np.frombuffer(y or b"", "<u4")) for x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                ids, offsets = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in (0, 1))
-                counts = np.array([len(r[0]) for r in rows], np.int64)
-                lengths = vocab.lengths[ids]
-                size = np.zeros(len(rows), np.int64)
-                ends = np.cumsum(counts)
-                full = counts > 0
-                size[full] = (offsets + lengths)[ends[full] - 1]
-                base = np.cumsum(size) - size
-                buffer = np.zeros(int(size.sum()), np.uint8)
-                at = np.repeat(base, counts) + offsets
-                spread = np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-                buffer[spread] = take_ranges(vocab.bytes, vocab.starts[ids], lengths)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(3 + j) for j in range(len(keep))), _pieces(buffer, size)], [key, *keep, "decoded"])
-
-    return tokens.select(*columns).mapInArrow(work, f"{kinds}, decoded binary")
+    rows, schema = _source(docs, key, text)
+    return rows.mapInArrow(lambda batches: encode_batches(batches, vocab_path), schema).withColumnRenamed("key", key)
+
+
+def decode(tokens: DataFrame, vocab_path: str) -> DataFrame:
+    """tokens (ids and offsets, and any other columns but `decoded`) with `decoded`, the bytes."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
+    return tokens.mapInArrow(lambda batches: decode_batches(batches, vocab_path), f"{schema}, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What `decode` makes of `encode`, in one pass of one worker."""
+    rows, schema = _source(docs, key, text)
+    done = rows.mapInArrow(lambda batches: decode_batches(encode_batches(batches, vocab_path), vocab_path), f"{schema}, decoded binary")
+    return done.withColumnRenamed("key", key)
 
 
 def query(docs: DataFrame, vocab_path: str) -> DataFrame:
     """Digests of what encoding every text, and decoding the ids again, gives."""
-    done = decode(encode(docs, vocab_path), vocab_path, keep=("ids", "n_tokens"))
+    done = round_trip(docs, vocab_path)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
