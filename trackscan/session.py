@@ -28,8 +28,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "track
     )
 
 
+#: Rows in a batch for Python workers: texts are long, and workers hold a batch in several forms.
+ARROW_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this repository wherever the driver was started."""
+    """Let Python workers import this repository wherever the driver was started, in small batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
