@@ -26,7 +26,7 @@ from trackscan.llm.common import strings
 from trackscan.llm.pretokenize import boundaries
 
 #: Distinct slices that a worker remembers; beyond it the cache starts anew.
-CACHE = 700_000
+CACHE = 500_000
 #: Slices of more bytes are merged one by one with a heap.
 LONG = 64
 NONE = np.int32(2**31 - 1)
