@@ -47,10 +47,11 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, frame_index, source_index and x, y, z (float) of one frame for each supplier.
 
     Frames are dealt out before their points are made, so that all of a frame is made, and stays, in
-    one partition and operators that group by frame need no further shuffle.
+    one partition and operators that group by frame need no further shuffle. The number of partitions
+    is given, as the few rows of frames would else be gathered into one.
     """
     suppliers = table(spark, sf_dir, "supplier")
-    frames = spark.sql(_frames_sql("{suppliers}"), suppliers=suppliers).repartition("source_id", "frame_index")
+    frames = spark.sql(_frames_sql("{suppliers}"), suppliers=suppliers).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_id", "frame_index")
     layers = _layers()
     parts = F.array(*(F.expr(f"named_struct('part', {p}, 'n', CASE WHEN {c} THEN {n} ELSE 0 END)") for p, (c, n, *_) in enumerate(layers)))
     dealt = frames.withColumn("p", F.explode(F.filter(parts, lambda p: p["n"] > 0))).selectExpr("*", "p.part AS part", "explode(sequence(0, p.n - 1)) AS k")

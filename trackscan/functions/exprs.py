@@ -56,7 +56,7 @@ def forest_score(*features: str) -> Column:
 def lower_quantile(values: Column, q: float) -> Column:
     """sorted[floor((n - 1) * q)] of an array; null when it is empty. Not the discrete percentile of SQL."""
     at = F.greatest(F.floor((F.size(values) - 1) * F.lit(float(q))) + 1, F.lit(1)).cast("int")
-    return F.try_element_at(F.array_sort(values), at)
+    return F.try_element_at(F.sort_array(values), at)
 
 
 def distance(x: str = "x", y: str = "y", z: str = "z") -> Column:
@@ -110,4 +110,4 @@ def register(spark: SparkSession) -> None:
 
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION zone_of(lateral DOUBLE, height DOUBLE) RETURNS INT RETURN CASE WHEN {box(CORE)} THEN 1 WHEN {box(EXPANDED)} THEN 2 ELSE 3 END")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION forest_score({', '.join(n + ' DOUBLE' for n in names)}) RETURNS DOUBLE RETURN {forest_sql(names)}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION lower_quantile(v ARRAY<DOUBLE>, q DOUBLE) RETURNS DOUBLE RETURN try_element_at(array_sort(v), greatest(cast(floor((size(v) - 1) * q) + 1 AS int), 1))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION lower_quantile(v ARRAY<DOUBLE>, q DOUBLE) RETURNS DOUBLE RETURN try_element_at(sort_array(v), greatest(cast(floor((size(v) - 1) * q) + 1 AS int), 1))")

@@ -78,7 +78,7 @@ def _tail(pairs: DataFrame, n: int) -> DataFrame:
     """One row per frame: its number of pairs and the last n with centres, the last first."""
     own = with_centre(pairs).withColumn("back", F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.desc("s"))))
     item = F.struct("back", "s", "left", "right", "cx", "cy", "cz")
-    return own.groupBy(*FRAME).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("back") <= n, item))).alias("tail"))
+    return own.groupBy(*FRAME).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("back") <= n, item))).alias("tail"))
 
 
 def extend_tangent(pairs: DataFrame, target_s: float = 80.0) -> DataFrame:

@@ -1,7 +1,6 @@
 """The clearance envelope: zone of every point, counts, nearest points, cropping.
 
-Segments of a frame travel as one short array beside its points: the theta join of points and segments
-needs no pairs of rows, and the first core segment ends the search.
+The theta join of points and segments is an equi-join on the frame with the geometry as its condition.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ FIELDS = ("seg_index", "ax", "ay", "az", "tx", "ty", "nx", "ny", "dz", "length",
 
 def with_segments(points: DataFrame, segs: DataFrame) -> DataFrame:
     """points with `segs`, the frame's segments in order; null where it has none."""
-    packed = segs.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("segs"))
+    packed = segs.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("segs"))
     return points.join(packed, FRAME, "left")
 
 
@@ -33,25 +32,29 @@ def _covers(seg: Column) -> Column:
     return (station >= -TOLERANCE) & (station <= seg["length"] + TOLERANCE)
 
 
-def _zone_at(core: Bounds, expanded: Bounds):
-    def zone(seg: Column) -> Column:
-        _, lateral, height = _local(seg)
-        return F.when(in_bounds(core, lateral, height), 1).when(in_bounds(expanded, lateral, height), 2).otherwise(3)
-
-    return zone
-
-
 def label(points: DataFrame, segs: DataFrame, core: Bounds = CORE, expanded: Bounds = EXPANDED, priority: str = "first") -> DataFrame:
-    """points with `zone`: 0 unknown, 1 core, 2 margin, 3 outside.
+    """FRAME, source_index, x, y, z and `zone`: 0 unknown, 1 core, 2 margin, 3 outside.
 
     Core wins wherever it is met; otherwise the first covering segment decides, or with
-    priority="best" the nearest zone over all of them (E3, T1).
+    priority="best" the nearest zone over all of them (E3, T1). A join on the frame compares a point
+    with its frame's few segments inside generated code, and an aggregate below the frame, which needs
+    no further shuffle, keeps the first of those that cover it.
     """
-    own = with_segments(points, segs)
-    zones = F.transform(F.filter("segs", _covers), _zone_at(core, expanded))
-    best = F.array_min("zones")
-    decided = best if priority == "best" else F.when(best == 1, 1).otherwise(F.try_element_at("zones", F.lit(1)))
-    return own.withColumn("zones", zones).withColumn("zone", F.coalesce(decided, F.lit(0)).cast("tinyint")).drop("segs", "zones")
+    own = points.select(*FRAME, "source_index", "x", "y", "z").alias("p")
+    seg = segs.alias("g")
+    here = {c: F.col(f"g.{c}") for c in FIELDS}
+    dx, dy = F.col("p.x").cast("double") - here["ax"], F.col("p.y").cast("double") - here["ay"]
+    station = dx * here["tx"] + dy * here["ty"]
+    same = (F.col("p.source_id") == F.col("g.source_id")) & (F.col("p.frame_index") == F.col("g.frame_index"))
+    met = own.join(seg, same & (station >= -TOLERANCE) & (station <= here["length"] + TOLERANCE), "left")
+    lateral = dx * here["nx"] + dy * here["ny"]
+    height = F.col("p.z").cast("double") - here["az"] - here["dz"] * station / here["length"]
+    zone = F.when(here["seg_index"].isNull(), 0).when(in_bounds(core, lateral, height), 1).when(in_bounds(expanded, lateral, height), 2).otherwise(3)
+    keys = [F.col(f"p.{c}").alias(c) for c in (*FRAME, "source_index", "x", "y", "z")]
+    flat = met.select(*keys, F.coalesce(here["seg_index"], F.lit(0)).alias("seg"), zone.alias("zone"))
+    best = flat.groupBy(*FRAME, "source_index", "x", "y", "z").agg(F.min(F.col("seg") * 4 + F.col("zone")).alias("first"), F.min("zone").alias("least"))
+    decided = F.col("least") if priority == "best" else F.when(F.col("least") == 1, 1).otherwise(F.col("first") % 4)
+    return best.select(*FRAME, "source_index", "x", "y", "z", decided.cast("tinyint").alias("zone"))
 
 
 def zone_stats(labels: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def identity_mismatches(results: DataFrame, frames: DataFrame) -> DataFrame:
 
 def annotated(frames: DataFrame, annotations: DataFrame) -> DataFrame:
     """frames with the sorted events annotated there."""
-    packed = annotations.groupBy(*FRAME).agg(F.array_sort(F.collect_list("event_id")).alias("events"))
+    packed = annotations.groupBy(*FRAME).agg(F.sort_array(F.collect_list("event_id")).alias("events"))
     return frames.join(packed, FRAME, "left")
 
 

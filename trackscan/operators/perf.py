@@ -20,7 +20,7 @@ def histogram(rows: DataFrame, column: str, by: list[str] | None = None) -> Data
     """A map of value -> count per group."""
     by = by or []
     counts = rows.groupBy(*by, column).agg(F.count("*").alias("n"))
-    return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(column), F.lit("null")), "n")))).alias("counts"))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col(column), F.lit("null")), "n")))).alias("counts"))
 
 
 def latency(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:

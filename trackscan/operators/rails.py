@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from trackscan.config import FRAME, Rails
 from trackscan.functions.exprs import lower_quantile
 from trackscan.operators.quality import search_window
+from trackscan.session import materialize
 
 NODE = "struct<idx:int,s:double,l:double,r:double,lz:double,rz:double,left:struct<x:float,y:float,z:float>,right:struct<x:float,y:float,z:float>,score:int,cost:double,prev:int>"
 
@@ -65,11 +66,11 @@ def ridge_peaks(points: DataFrame, cfg: Rails = Rails()) -> DataFrame:
 
 def separate_peaks(peaks: DataFrame, cfg: Rails = Rails()) -> DataFrame:
     """FRAME, station and peaks: by falling prominence, those apart from all taken before (W7, O1); ties to the lower cell."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("prominence")).alias("order"), "cell", "x", "z", "s", "point")))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("prominence")).alias("order"), "cell", "x", "z", "s", "point")))
     taken = peaks.groupBy(*FRAME, "station").agg(ordered.alias("p"))
     kind = taken.schema["p"].dataType.simpleString()
     chosen = F.aggregate("p", F.array().cast(kind), lambda acc, p: F.when(F.exists(acc, lambda a: F.abs(a["x"] - p["x"]) <= cfg.peak_separation), acc).otherwise(F.array_append(acc, p)))
-    return taken.select(*FRAME, "station", F.array_sort(F.transform(chosen, lambda p: F.struct(p["x"].alias("x"), p["z"].alias("z"), p["s"].alias("s"), p["cell"].alias("cell"), p["point"].alias("point")))).alias("peaks"))
+    return taken.select(*FRAME, "station", F.sort_array(F.transform(chosen, lambda p: F.struct(p["x"].alias("x"), p["z"].alias("z"), p["s"].alias("s"), p["cell"].alias("cell"), p["point"].alias("point")))).alias("peaks"))
 
 
 def rail_pairs(points: DataFrame, cfg: Rails = Rails()) -> DataFrame:
@@ -93,7 +94,7 @@ def chain_nodes(pairs: DataFrame, frames: DataFrame, cfg: Rails = Rails()) -> Da
     each = pairs.groupBy(*FRAME).agg(
         F.count_if(F.size("pairs") > 0).alias("pair_stations"),
         F.max(F.size("pairs")).alias("most_pairs"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("station", "pairs"))), lambda b: b["pairs"])).alias("rows"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("station", "pairs"))), lambda b: b["pairs"])).alias("rows"),
     )
     every = frames.select(*FRAME).distinct().join(each, FRAME, "left")
     every = every.withColumns({"pair_stations": F.coalesce("pair_stations", F.lit(0)).cast("long"), "most_pairs": F.coalesce("most_pairs", F.lit(0))})
@@ -188,7 +189,7 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
     on (frame, seed).
     """
     every = (frames if frames is not None else points).select(*FRAME).distinct()
-    binned = rail_pairs(points, cfg)
+    binned = materialize(rail_pairs(points, cfg), "pairs")  # few beside the points, and read by each step
     each = binned.select(*FRAME, "station", F.posexplode("pairs").alias("n", "p")).select(*FRAME, "station", "n", "p.*")
     facts = binned.groupBy(*FRAME).agg(F.count_if(F.size("pairs") > 0).alias("pair_stations"), F.max(F.size("pairs")).alias("most_pairs"))
     a, b = (each.select(*FRAME, *(F.col(c).alias(f"{c}_{t}") for c in ("station", "n", "s", "l", "r", "lz", "rz"))) for t in "ab")
@@ -223,7 +224,7 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
         den = F.aggregate("list", F.lit(0.0), lambda t, r: t + (r["s"] - F.col("ms")) * (r["s"] - F.col("ms")))
         out = sums.withColumn("den", den)
         for f in fields:
-            num = F.aggregate("list", F.lit(0.0), lambda t, r, f=f: t + (r["s"] - F.col("ms")) * (r[f] - F.col(f"m_{f}")))
+            num = F.aggregate(F.transform("list", lambda r: (r["s"] - F.col("ms")) * (r[f] - F.col(f"m_{f}"))), F.lit(0.0), lambda t, v: t + v)  # noqa: B023
             out = out.withColumn(f"{f}_slope", F.when(F.col("den") == 0, 0.0).otherwise(num / F.col("den")))
             out = out.withColumn(f"{f}_at", F.col(f"m_{f}") - F.col(f"{f}_slope") * F.col("ms"))
         return out
@@ -252,6 +253,7 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
     tilt = F.hypot(F.lit(1.0), (F.col("l_slope") + F.col("r_slope")) * 0.5)
     for at in ("s0", "s1"):
         fine = fine.where(((value("r", at) - value("l", at)) / tilt).between(cfg.pair_min, cfg.pair_max) & (F.abs(value("rz", at) - value("lz", at)) <= cfg.max_cross_height))
+    fine = materialize(fine, "lines")
     ranked = fine.withColumn("place", F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.desc("rows"), "rms", "seed", "run")))
     best = ranked.where("place = 1").select(*FRAME, F.col("rows").alias("best_rows"), F.col("rms").alias("best_rms"), F.col("s0").alias("start"), F.col("s1").alias("end"), *(F.col(c).alias(f"best_{c}") for c in lines))
 

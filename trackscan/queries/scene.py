@@ -17,15 +17,15 @@ FK = t.FK
 
 
 def r6(*columns: str) -> list[Column]:
-    return [F.round(F.col(c).cast("double"), 6).alias(c) for c in columns]
+    return [(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in columns]
 
 
 def s6(*columns: str) -> str:
-    return ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in columns)
+    return ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0e0 AS {c}" for c in columns)
 
 
 def _detected(spark, sf_dir) -> DataFrame:
-    return rails.detect(scene(spark, sf_dir))
+    return materialize(rails.detect(scene(spark, sf_dir)), "detected")
 
 
 def _segments(spark, sf_dir) -> DataFrame:
@@ -112,7 +112,7 @@ def _ladder(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     own = nation.selectExpr("n_nationkey", "explode(sequence(0, 38)) AS station").selectExpr("*", "explode(sequence(0, 9)) AS c").where(LADDER_KEEP)
     rows = spark.sql(f"{LADDER} FROM {{own}}", own=own)
     none = F.lit(None).cast(axis.POINT)
-    packed = rows.groupBy(*FRAME, "station").agg(F.array_sort(F.collect_list(F.struct("l", "r", "s", "lz", "rz"))).alias("p"))
+    packed = rows.groupBy(*FRAME, "station").agg(F.sort_array(F.collect_list(F.struct("l", "r", "s", "lz", "rz"))).alias("p"))
     pairs = packed.select(*FRAME, "station", F.transform("p", lambda p: F.struct(p["s"].alias("s"), p["l"].alias("l"), p["r"].alias("r"), p["lz"].alias("lz"), p["rz"].alias("rz"), none.alias("left"), none.alias("right"))).alias("pairs"))
     return pairs, nation.selectExpr("CAST(n_nationkey AS BIGINT) AS source_id", "CAST(0 AS BIGINT) AS frame_index")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trackscan.config import FRAME
@@ -21,6 +22,11 @@ FK = t.FK
 TRI = f"ev AS ({EVENT_FRAMES}), tri AS (SELECT source_id, frame_index, ts, value, CASE WHEN NOT unknown THEN model END AS model, CASE WHEN NOT unknown THEN early END AS early FROM ev)"
 
 
+def micros(column: str) -> Column:
+    """Microseconds of a time without zone since 1970, whatever zone the session is in."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
+
+
 def _tri(spark, sf_dir):
     own = event_frames(spark, sf_dir)
     return own.select(*FRAME, "ts", "value", *(F.when(~F.col("unknown"), F.col(c)).alias(c) for c in ("model", "early")))
@@ -48,7 +54,7 @@ STAMP = "CAST(floor(epoch(ts) / 21600e0) AS BIGINT) * 21600000000000"
 
 
 def _stamped(spark, sf_dir):
-    return _tri(spark, sf_dir).withColumn("header_ns", F.floor(F.unix_micros("ts") / F.lit(21600e6)) * 21600000000000)
+    return _tri(spark, sf_dir).withColumn("header_ns", F.floor(micros("ts") / F.lit(21600e6)) * 21600000000000)
 
 
 @query(f"""WITH {TRI}, st AS (SELECT *, {STAMP} AS header_ns FROM tri), rp AS (SELECT *, coalesce(lag(header_ns) OVER (PARTITION BY source_id ORDER BY frame_index) = header_ns, FALSE) AS again FROM st),
@@ -62,7 +68,7 @@ def temporal_dedupe_ns(spark, sf_dir):
 @query(f"WITH {TRI}, {t.confirmed('tri')} SELECT {FK}, model_streak, early_streak, model_confirmed, early_confirmed FROM confirmed")
 def streaming_equals_batch(spark, sf_dir):
     """The stateful stream over everything there is, started from a written table of frames."""
-    rows = materialize(_tri(spark, sf_dir).select(*FRAME, F.unix_micros("ts").alias("header_ns"), "model", "early"), "stream-in")
+    rows = materialize(_tri(spark, sf_dir).select(*FRAME, micros("ts").alias("header_ns"), "model", "early"), "stream-in")
     place = rows.inputFiles()[0].rsplit("/", 1)[0]
     path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(rows.schema).parquet(place)
@@ -84,7 +90,7 @@ def early_run_lag(spark, sf_dir):
 @query(f"""WITH {TRI}, aged AS (SELECT {FK}, epoch_us(ts) * 1000 - last_value(CASE WHEN model THEN epoch_us(ts) * 1000 END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY frame_index) AS age FROM tri)
 SELECT {FK}, CASE WHEN age / 1e9 <= 432e3 THEN round(age / 1e9, 3) END AS age_s FROM aged""")
 def alarm_age(spark, sf_dir):
-    own = _tri(spark, sf_dir).withColumn("header_ns", F.unix_micros("ts") * 1000)
+    own = _tri(spark, sf_dir).withColumn("header_ns", micros("ts") * 1000)
     return temporal.alarm_age(own, "model", longest_s=432e3).select(*FRAME, F.round("age_s", 3).alias("age_s"))
 
 
@@ -92,7 +98,7 @@ def alarm_age(spark, sf_dir):
 def frame_records_offsets(spark, sf_dir):
     from trackscan.operators.quality import frame_records
 
-    own = _tri(spark, sf_dir).withColumn("bag_ns", F.unix_micros("ts") * 1000)
+    own = _tri(spark, sf_dir).withColumn("bag_ns", micros("ts") * 1000)
     return frame_records(own).select(*FRAME, F.round("bag_offset_seconds", 3).alias("bag_offset_seconds"))
 
 
@@ -180,7 +186,7 @@ def parity_diff(spark, sf_dir):
 
 @query(f"WITH {TRI} SELECT {FK} FROM tri WHERE frame_index % 13 = 0")
 def identity_mismatches(spark, sf_dir):
-    frames = _tri(spark, sf_dir).select(*FRAME, F.unix_micros("ts").alias("header_ns"), F.lit("lidar").alias("source_frame"))
+    frames = _tri(spark, sf_dir).select(*FRAME, micros("ts").alias("header_ns"), F.lit("lidar").alias("source_frame"))
     results = frames.withColumn("header_ns", F.when(F.col("frame_index") % 13 == 0, F.col("header_ns") + 1).otherwise(F.col("header_ns")))
     return evaluate.identity_mismatches(results, frames).select(*FRAME)
 
