@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackscan.config import CORE, EXPANDED, FRAME, Config, Objects
-from trackscan.fixtures import scene, table
+from trackscan.fixtures import dealt_scene as scene
+from trackscan.fixtures import table
 from trackscan.operators import axis, cluster, decide, envelope, objects, quality, rails, temporal, viewer
 from trackscan.plans import pipeline
 from trackscan.queries import twins as t
