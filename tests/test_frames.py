@@ -60,7 +60,7 @@ def test_wireframe_and_validation(spark, bent):
 
 
 def test_arcs(spark):
-    rows = [(s, 60 * (1 - np.cos(s / 60)), -60 * np.sin(s / 60)) for s in (2.0, 4.0, 6.0, 8.0, 10.0)]
+    rows = [(s, float(60 * (1 - np.cos(s / 60))), float(-60 * np.sin(s / 60))) for s in (2.0, 4.0, 6.0, 8.0, 10.0)]
     point = "struct<x:float,y:float,z:float>"
     pairs = spark.createDataFrame([(0, 0, s, (x - 0.8, y, 0.0), (x + 0.8, y, 0.0), True) for s, x, y in rows], f"source_id long, frame_index long, s double, left {point}, right {point}, observed boolean")
     longer, status = axis.extend_arc_limited(pairs, 4.0)
