@@ -219,22 +219,18 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
         best = near.groupBy(*key, "station").agg(F.min(F.struct("error", "n", "s", *fields, "left", "right")).alias("row"))
         return best.select(*key, "station", "row.*")
 
-    def fit(rows: DataFrame, by: list[str]) -> DataFrame:
-        sums = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.avg("s").alias("ms"), *(F.avg(f).alias(f"m_{f}") for f in fields), F.collect_list(F.struct("s", *fields)).alias("list"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-        den = F.aggregate("list", F.lit(0.0), lambda t, r: t + (r["s"] - F.col("ms")) * (r["s"] - F.col("ms")))
-        out = sums.withColumn("den", den)
-        for f in fields:
-            num = F.aggregate(F.transform("list", lambda r: (r["s"] - F.col("ms")) * (r[f] - F.col(f"m_{f}"))), F.lit(0.0), lambda t, v: t + v)  # noqa: B023
-            out = out.withColumn(f"{f}_slope", F.when(F.col("den") == 0, 0.0).otherwise(num / F.col("den")))
-            out = out.withColumn(f"{f}_at", F.col(f"m_{f}") - F.col(f"{f}_slope") * F.col("ms"))
-        return out
+    def fit(rows: DataFrame, by: list[str], keep: tuple[Column, ...] = ()) -> DataFrame:
+        # regressions are plain aggregates, combined before the shuffle; rows of one station have slope zero
+        slopes = [F.coalesce(F.regr_slope(f, "s"), F.lit(0.0)).alias(f"{f}_slope") for f in fields]
+        sums = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.avg("s").alias("ms"), *(F.avg(f).alias(f"m_{f}") for f in fields), *slopes, *keep)
+        return sums.withColumns({f"{f}_at": F.col(f"m_{f}") - F.col(f"{f}_slope") * F.col("ms") for f in fields})
 
     lines = [f"{f}_{p}" for f in fields for p in ("slope", "at")]
     second = gather(fit(gather(model), key).where(F.col("rows") >= cfg.min_stations).select(*key, *lines))
     order = Window.partitionBy(*key).orderBy("s")
     apart = second.withColumn("gap", F.col("s") - F.lag("s").over(order)).withColumn("run", F.sum((F.coalesce("gap", F.lit(0.0)) > cfg.max_gap).cast("int")).over(order))
     size = F.count("*").over(Window.partitionBy(*key))
-    runs = fit(apart.withColumn("total", size).where(F.col("total") >= cfg.min_stations), [*key, "run"])
+    runs = fit(apart.withColumn("total", size).where(F.col("total") >= cfg.min_stations), [*key, "run"], (F.collect_list(F.struct("s", *fields)).alias("list"), F.min("s").alias("s0"), F.max("s").alias("s1")))
     span = F.col("s1") - F.col("s0")
     fine = runs.where((F.col("rows") >= cfg.min_stations) & (span >= cfg.min_span) & (F.col("rows") / (span / cfg.station_length + 1.0) >= cfg.min_coverage))
     fine = fine.where((F.abs(F.col("l_slope") - F.col("r_slope")) * span <= cfg.lateral_tolerance) & (F.greatest(*(F.abs(f"{f}_slope") for f in fields)) <= cfg.max_slope))
