@@ -200,14 +200,9 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
     fields = ("l", "r", "lz", "rz")
     key = [*FRAME, "seed"]
     seeded = seeded.withColumn("seed", F.struct("station_a", "n_a", "station_b", "n_b"))
-    # the fit of two rows is the line through them, by the same means and sums as any other fit
-    mean = (F.col("s_a") + F.col("s_b")) / 2
-    den = (F.col("s_a") - mean) * (F.col("s_a") - mean) + (F.col("s_b") - mean) * (F.col("s_b") - mean)
-    model = seeded
-    for f in fields:
-        mv = (F.col(f"{f}_a") + F.col(f"{f}_b")) / 2
-        slope = ((F.col("s_a") - mean) * (F.col(f"{f}_a") - mv) + (F.col("s_b") - mean) * (F.col(f"{f}_b") - mv)) / den
-        model = model.withColumns({f"{f}_slope": slope, f"{f}_at": mv - slope * mean})
+    # the fit of two rows is the line through them
+    model = seeded.withColumns({f"{f}_slope": (F.col(f"{f}_b") - F.col(f"{f}_a")) / (F.col("s_b") - F.col("s_a")) for f in fields})
+    model = model.withColumns({f"{f}_at": F.col(f"{f}_a") - F.col(f"{f}_slope") * F.col("s_a") for f in fields})
     model = model.where(F.greatest(*(F.abs(f"{f}_slope") for f in fields)) <= cfg.max_slope).select(*key, *(f"{f}_{p}" for f in fields for p in ("slope", "at")))
 
     def error() -> Column:
