@@ -163,3 +163,88 @@ def test_license_rules(spark, odd, none):
     got = {r["doc_id"]: (r["identifiers"], r["licenses"]) for r in licenses.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {1: ("a", "Apache-2.0"), 2: ("fx", "MIT,Proprietary"), 3: ("abc", "Apache-2.0"), 4: ("jo", "CC-BY-NC-4.0,GPL-3.0-only"), 5: ("", "")}
     assert licenses.query(odd).count() == odd.count() and licenses.query(none).count() == 0
+
+
+WRAPPED = {
+    "MIT": ("ghi", f"""{MIT}
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"""),
+    "Apache-2.0": ("abcde", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""),
+    "GPL-3.0-or-later": ("kmn", """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""),
+    "GPL-2.0-or-later": ("lmn", """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation"""),
+    "BSD-3-Clause": ("rstu", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""),
+    "MPL-2.0": ("v", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    "ISC": ("w", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    "CC-BY-4.0": ("p", "This work is licensed under a Creative Commons\nAttribution 4.0 International License."),
+    "CC-BY-SA-4.0": ("q", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC-4.0": ("o", "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."),
+    "GPL-3.0-only": ("j", "This work is licensed under the GNU General\nPublic License, version 3."),
+    "Proprietary": ("x", "Copyright 2020 Someone. All rights\nreserved."),
+}
+
+
+def test_canonical_wrapped_notices(spark):
+    cases = [(name, ids, before + text.replace("\n", f"\n{before}")) for name, (ids, text) in WRAPPED.items() for before in ("", "# ", " * ", ";; ")]
+    cases += [(name, ids, text.replace("\n", "\r\n")) for name, (ids, text) in WRAPPED.items()]
+    cases += [("BSD-2-Clause", "rst", WRAPPED["BSD-3-Clause"][1].split("\n\n3.")[0]), ("MIT", "gh", WRAPPED["MIT"][1].split("\n\nTHE")[0]), ("MIT", "f", "This project is licensed\nunder the MIT License.")]
+    cases += [("MIT", "y", "# SPDX-License-Identifier: MIT\nx = 1"), ("Apache-2.0", "z", "// SPDX-License-Identifier: Apache-2.0"), ("", "", "SPDX-License-Identifier: MIT OR X"), ("", "", "licensed under the\n\nMIT License")]
+    cases += [("Apache-2.0", "a", "Licensed under the Apache License,\nVersion 2.0"), ("GPL-3.0-or-later", "k", WRAPPED["GPL-3.0-or-later"][1].split("\n\n")[0]), ("GPL-2.0-or-later", "l", WRAPPED["GPL-2.0-or-later"][1].split("\n\n")[0])]
+    cases += [("Apache-2.0", "abc", WRAPPED["Apache-2.0"][1].split("\n\nUnless")[0])]
+    frame = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["identifiers"]) for r in licenses.query(frame).collect()}
+    assert [got[i] for i in range(len(cases))] == [(name, ids) for name, ids, _ in cases]
+    assert {name for name, _, _ in cases} >= {name for name, _ in licenses.RULES}

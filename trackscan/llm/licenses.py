@@ -1,9 +1,12 @@
 """License scans by sentence rules (operator 7), in DataFrame functions only.
 
-A text is cut into sentences; each is normalised (ASCII lower case, anything but letters and digits to
-one space) and mapped to the identifier of a known licence sentence. The identifiers of a text, in
-order, are matched against rules: ordered sequences of identifiers that follow each other when unknown
-sentences are left out. Of rules that begin alike the longest applies, and each sentence counts once.
+A text is normalised (ASCII lower case, anything but letters and digits to one space) with marks where a
+sentence ends and where a line does; what stands before a line's first letter or digit, such as a comment's
+prefix, goes. Known licence sentences are found between marks; a line end may fall inside them, a paragraph's
+end or punctuation only where the canonical text has it. The identifiers of a text, in order, are matched
+against rules: ordered sequences of identifiers that follow each other when unknown sentences are left out.
+Of rules that begin alike the longest applies, and each sentence counts once. The SQL twin cuts at every
+line end and mark, so it knows only notices that stand on one line without inner punctuation.
 
 Defined results: null and empty texts have no sentences and no licences; a sentence that repeats counts
 each time; the licences of a text are sorted, each once, whatever the order of rows; an empty table gives no rows.
@@ -11,6 +14,8 @@ each time; the licences of a text are sorted, each once, whatever the order of r
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +60,10 @@ RULES = [
 CUT = r"[\n\r]+|[.!?;:]+(?:[ \t]+|[\n\r]+|$)"
 #: Every known sentence holds one of these words: a text without them needs no cutting.
 ANCHOR = "(?i)licen|permission|permitted|redistribut|copyright|rights reserved|free software|warrant|gnu general"
+#: The same words where lines may end between them.
+MET = ANCHOR.replace(" ", "[^a-z0-9]+")
+#: Words of known sentences that the canonical text parts by one of . ! ? ; : and white space.
+PARTED = ("identifier mit", "identifier apache", "license v 2", "software you", "foundation either", "warranty without")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,16 +71,38 @@ def _by_length() -> list[tuple[str, str]]:
     return sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
 
 
+def _marked(text: Column) -> Column:
+    """A text normalised, with | where a sentence or paragraph ends and / where another line does."""
+    own = F.concat(F.lit("|"), F.translate(text, UPPER + "|/", LOWER + "  "), F.lit("|"))
+    for pattern, mark in (
+        (r"(?>\r\n?|\n)[^a-z0-9\r\n]*+[\r\n][^a-z0-9]*+", "|"), (r"[\r\n]+[^a-z0-9]*+", "/"), (r"[.!?;:]+(?=[ \t|/])", "|"),
+        ("[^a-z0-9|/]+", " "), (r"[ /]*\|[ /|]*", "|"), (" */ *", "/"),
+    ):
+        own = F.regexp_replace(own, pattern, mark)
+    return own
+
+
+def _pattern() -> str:
+    """The known sentences between marks, longest first."""
+    found = []
+    for s in sorted((s for group in SENTENCES.values() for s in group), key=lambda s: (-len(s), s)):
+        for words in PARTED:
+            head, last = words.rsplit(" ", 1)
+            s = s.replace(words, f"{head}[ /|]{last}")
+        found.append(re.sub(r" (?!/)", "[ /]", s))
+    return f"(?<=[|/])({'|'.join(found)})(?=[|/])"
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    return F.transform(F.split(text, CUT), lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
+    """The known sentences of a text, normalised, in order."""
+    return F.transform(F.regexp_extract_all(_marked(text), F.lit(_pattern()), F.lit(1)), lambda s: F.translate(s, "|/", "  "))
 
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, one character each, in order."""
     known = F.create_map(*[F.lit(x) for i, group in SENTENCES.items() for s in group for x in (s, i)])
-    found = F.array_join(F.transform(sentences(text), lambda s: F.coalesce(F.element_at(known, s), F.lit(""))), "")
-    return F.when(text.rlike(ANCHOR), found).otherwise(F.lit(""))
+    found = F.array_join(F.transform(sentences(text), lambda s: F.element_at(known, s)), "")
+    return F.when(text.rlike(MET), found).otherwise(F.lit(""))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
