@@ -85,6 +85,17 @@ def test_template_is_taken_out(spark, main):
     assert any(r["kind"] == 2 for r in classes) and any(r["parent"] is not None for r in classes)
 
 
+def article(i, n=12):
+    return " ".join(f"word{i}x{k}" for k in range(n * 10))
+
+
+@pytest.mark.parametrize("on", [lambda i: 1, lambda i: int(i % 4 > 0), lambda i: 1 + (i == 3)])
+def test_text_that_no_tag_goes_with_is_template(spark, on):
+    rows = [(i, f"http://a.example/{i}", "<article>" + f"<p>{article(i)}</p>" + "<p>Read more on our site</p>" * on(i) + "</article>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: article(i) for i in range(8)}
+
+
 def test_pages_of_copies_keep_their_text(spark):
     pages = spark.createDataFrame([(i, "http://a.example/x", "<article><h1>T</h1><p>all the same words here</article>") for i in range(9)], "page_id long, url string, html string")
     assert {r["text"] for r in html.query(pages).collect()} == {"T\nall the same words here"}

@@ -265,7 +265,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     """host, class (its occurrence vector), kind, label, token, pages, class_size, parent (the class that it nests in).
 
     Tokens of a class have equal vectors and stand on the support share of the host's pages. A class
-    nests in the class of the longest path that is a proper prefix of its own shortest one.
+    nests in the class of the longest path that is a proper prefix of its own shortest one; one that
+    holds no tag nests nowhere.
     """
     # most text nodes stand on one page alone: they go before anything meets by host
     every = materialize(occurrences(pages, url, html).where((F.col("kind") == 0) | (F.col("pages") >= LEAST_PAGES)), "html-tokens")
@@ -274,8 +275,9 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     by_class = Window.partitionBy("host", "vector")
     tagged = often.withColumn("class_size", F.count("*").over(by_class)).withColumn("top", F.min(F.when(F.col("kind") == 1, F.struct(F.length("label").alias("n"), F.col("label").alias("path")))).over(by_class)["path"])
     classes = tagged.where("top IS NOT NULL").select("host", F.col("vector").alias("parent"), F.col("top").alias("above")).distinct()
-    # a host's frequent classes are as many as one page has tokens at most
-    nested = tagged.join(classes, "host", "left").where("parent IS NULL OR (vector <> parent AND startswith(top, concat(above, '/'))) OR vector = parent")
+    # a host's frequent classes are as many as one page has tokens at most; a class of texts alone has no path to nest by
+    above = (F.col("host") == F.col("_host")) & ((F.col("vector") == F.col("parent")) | F.startswith("top", F.concat("above", F.lit("/"))))
+    nested = tagged.join(classes.withColumnRenamed("host", "_host"), above, "left")
     best = F.max(F.when((F.col("vector") != F.col("parent")) & F.col("top").isNotNull(), F.struct(F.length("above").alias("n"), F.col("parent").alias("parent"))))
     return nested.groupBy("host", F.col("vector").alias("class"), "kind", "label", "token", "pages", "class_size").agg(best["parent"].alias("parent"))
 
