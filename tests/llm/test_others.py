@@ -101,6 +101,15 @@ def test_pages_of_copies_keep_their_text(spark):
     assert {r["text"] for r in html.query(pages).collect()} == {"T\nall the same words here"}
 
 
+def test_template_goes_from_short_pages_too(spark):
+    more = "<div class='q7'>Read more of what we write on our site every day of the week</div>"
+    rows = [(i, f"http://www.a.example/{i}", f"<article><p>{article(i, 1 if i == 2 else 20)}</p>{more}</article>") for i in range(8)]
+    rows += [(100 + i, "http://a.example/copy", "<article><p>one page met often</p></article>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html.query(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {i: got[i] for i in range(8)} == {i: article(i, 1 if i == 2 else 20) for i in range(8)}
+    assert {got[100 + i] for i in range(30)} == {"one page met often"}
+
+
 def test_odd_pages(spark):
     rows = [(0, None, None), (1, "", ""), (2, "::", "<"), (3, "http://a/", "<p <p>x"), (4, "http://a/", "<script>x"), (None, "http://a/", "<article>" * 500 + "deep"), (5, "http://a/", "<article>" + "word " * 40000), (5, "http://a/", "plain &eacute; text")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS host")

@@ -7,7 +7,7 @@ one task. Tokens of one host with equal sums, met on enough of its pages, are on
 class nests below the class of its nearest ancestor path, which gives the host's template. What lies
 between template tokens are slots: slots of menus, adverts and the like are told by their tags and
 names, slots that say the same on most pages of the host are template too, and the text of what remains
-of the main slot is the result.
+of the main slot is the result. Equal pages of a host count once, so that copies of one page make no template.
 
 Defined results: null and empty pages have empty text; a null or unparsable url is a host of its own;
 a host with few pages has no template, and slots alone decide; broken markup never fails.
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,8 +31,6 @@ from trackscan.llm.common import materialize
 
 #: A text node is template if it stands on at least this share of a host's pages, and on so many.
 SUPPORT, LEAST_PAGES = 0.5, 4
-#: Template text may take at most this share of a page's main slot: more is a host of copies.
-MOST_TEMPLATE = 0.3
 #: Distinct tokens that a task sums up before it sends them on.
 HELD = 400_000
 
@@ -211,12 +209,27 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower().removeprefix("www.") if m else f"\x00{url or ''}"
 
 
+def _host(url: str) -> Column:
+    def hosts(urls: pd.Series) -> pd.Series:
+        return urls.map(host_of)
+
+    return F.pandas_udf(hosts, "string")(F.coalesce(F.col(url), F.lit("")))
+
+
+def distinct_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """u and h, url and content, of each page, of equal pages of a host one; only such pages are dealt by content."""
+    keyed = pages.select(F.col(url).alias("u"), F.col(html).alias("h"), _host(url).alias("host"), F.xxhash64(F.coalesce(F.col(html), F.lit(""))).alias("digest"))
+    several = materialize(keyed.groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1").select("host", "digest"), "html-copies")
+    copies = keyed.join(several, ["host", "digest"], "left_semi").groupBy("host", "digest").agg(F.first("u").alias("u"), F.first("h").alias("h"))
+    return keyed.join(several, ["host", "digest"], "left_anti").select("u", "h").unionByName(copies.select("u", "h"))
+
+
 def occurrences(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, token, kind (0 pages of the host, 1 tag, 2 text), label, pages, total, vector (sum of hashes), size.
 
-    Tasks add up what they hold; what they send on is added up by an aggregate.
+    Equal pages of a host count once. Tasks add up what they hold; what they send on is added up by an aggregate.
     """
-    source = pages.select(F.col(url).alias("u"), F.col(html).alias("h"))
+    source = distinct_pages(pages, url, html)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
@@ -289,9 +302,6 @@ def extract_page(page: str, fixed: frozenset[int] | set[int]) -> str:
     marked = [b for b in own if b[3] >= 0]
     main = marked or _densest(own)
     kept = [b for b in main if _digest("2", f"{b[0]}\x1f{b[1]}") not in fixed]
-    size, left = sum(len(b[1]) for b in main), sum(len(b[1]) for b in kept)
-    if size - left > MOST_TEMPLATE * size:
-        kept = main
     return "\n".join(b[1] for b in kept)
 
 
@@ -322,11 +332,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     host; a host's list holds no more than its pages' own text nodes.
     """
     found = materialize(templates(pages, url, html).where("kind = 2").groupBy("host").agg(F.collect_set("token").alias("_fixed")), "html-fixed")
-    def hosts(urls: pd.Series) -> pd.Series:
-        return urls.map(host_of)
-
-    host = F.pandas_udf(hosts, "string")
-    joined = pages.withColumn("_host", host(F.coalesce(F.col(url), F.lit("")))).join(found.withColumnRenamed("host", "_host"), "_host", "left")
+    joined = pages.withColumn("_host", _host(url)).join(found.withColumnRenamed("host", "_host"), "_host", "left")
 
     def run(page: pd.Series, fixed: pd.Series) -> pd.Series:
         return pd.Series([extract_page(p or "", frozenset(() if f is None else np.asarray(f).tolist())) for p, f in zip(page, fixed)], dtype=object)
