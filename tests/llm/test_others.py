@@ -101,6 +101,24 @@ def test_pages_of_copies_keep_their_text(spark):
     assert {r["text"] for r in html.query(pages).collect()} == {"T\nall the same words here"}
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><h1>Title</h1><div class='c1'><p>{a}</p></div><div class='c2'><p>{b}</p><p>{b2}</p></div></body>",
+        "<body><div><h1><a href='/'>Title</a></h1><p>{a}</p><p>{b} <a href='/y'>short</a></p></div></body>",
+        "<body><div><p>Title</p><p><a href='/x'>{a}</a></p><div><p>{b}</p></div></div></body>",
+        "<body><div><h2>Title</h2><p>{a}</p><p><b>{b}{b2}{b3}</b></p><p>last</p></div></body>",
+        "<body><h1><a href='/'>Title</a></h1><div><p>{b}</p></div></body>",
+        "<body><ul><li><a href='/q'>Elsewhere</a></li></ul><div><p>Title</p><p>{a}</p></div></body>",
+    ],
+)
+def test_unmarked_pages_keep_lead_title_and_links(page):
+    words = {"a": article(1, 3), "b": article(2, 9), "b2": article(3, 1), "b3": article(4, 1)}
+    text = html.extract_page(page.format(**words), frozenset())
+    blocks = [b[1] for b in html.parse(page.format(**words))[1] if b[1] != "Elsewhere"]
+    assert text == "\n".join(blocks) and "Title" in text
+
+
 def test_template_goes_from_short_pages_too(spark):
     more = "<div class='q7'>Read more of what we write on our site every day of the week</div>"
     rows = [(i, f"http://www.a.example/{i}", f"<article><p>{article(i, 1 if i == 2 else 20)}</p>{more}</article>") for i in range(8)]

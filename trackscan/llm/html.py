@@ -7,7 +7,8 @@ one task. Tokens of one host with equal sums, met on enough of its pages, are on
 class nests below the class of its nearest ancestor path, which gives the host's template. What lies
 between template tokens are slots: slots of menus, adverts and the like are told by their tags and
 names, slots that say the same on most pages of the host are template too, and the text of what remains
-of the main slot is the result. Equal pages of a host count once, so that copies of one page make no template.
+of the main slot is the result; where no mark says which slot is the main one, it is all that remains below
+the nearest element around every heading and every text that isn't mostly a link. Equal pages of a host count once, so that copies of one page make no template.
 
 Defined results: null and empty pages have empty text; a null or unparsable url is a host of its own;
 a host with few pages has no template, and slots alone decide; broken markup never fails.
@@ -43,6 +44,9 @@ BLOCK = frozenset(
     table tbody td tfoot th thead title tr ul""".split()
 )
 ENDS_P = BLOCK - {"body", "head", "html", "title", "caption", "option", "optgroup", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Block elements that hold text rather than other blocks.
+LEAVES = HEADINGS | frozenset("p li dt dd td th pre blockquote caption figcaption summary legend address center".split())
 #: An open tag closes these open ones, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -299,30 +303,30 @@ def extract_page(page: str, fixed: frozenset[int] | set[int]) -> str:
     """The main text of one page, given the text tokens that are template on its host."""
     _, blocks = parse(page)
     own = [b for b in blocks if not b[2]]
-    marked = [b for b in own if b[3] >= 0]
-    main = marked or _densest(own)
-    kept = [b for b in main if _digest("2", f"{b[0]}\x1f{b[1]}") not in fixed]
-    return "\n".join(b[1] for b in kept)
-
-
-def _densest(blocks: list[tuple[str, str, bool, int, bool]]) -> list[tuple[str, str, bool, int, bool]]:
-    """Blocks below the deepest element path that holds most of the text outside links."""
-    total = sum(len(b[1]) for b in blocks if not b[4])
-    if not total:
-        return []
-    weight: dict[str, int] = {}
-    for path, text, _, _, link in blocks:
-        if link:
-            continue
-        steps = path.split("/")
-        for i in range(2, len(steps) + 1):
-            above = "/".join(steps[:i])
-            weight[above] = weight.get(above, 0) + len(text)
-    heavy = [p for p, n in weight.items() if n >= 0.7 * total and not p.rsplit("/", 1)[-1].startswith(("p", "h1", "h2", "li"))]
-    if not heavy:
-        return [b for b in blocks if not b[4]]
-    top = max(heavy, key=len)
-    return [b for b in blocks if (b[0] == top or b[0].startswith(top + "/")) and not b[4]]
+    kept = [b for b in own if _digest("2", f"{b[0]}\x1f{b[1]}") not in fixed]
+    main = [b for b in kept if b[3] >= 0] if any(b[3] >= 0 for b in own) else _below_common(kept)
+    return "\n".join(b[1] for b in main)
+
+
+def _container(path: str) -> tuple[list[str], bool]:
+    """(steps to the element that holds the block element of a path, whether that one is a heading)."""
+    steps = path.split("/")
+    names = [re.split("[.#]", s, maxsplit=1)[0] for s in steps]
+    while len(steps) > 1 and names[len(steps) - 1] not in BLOCK:
+        steps.pop()
+    heading = names[len(steps) - 1] in HEADINGS
+    return (steps[:-1] if names[len(steps) - 1] in LEAVES else steps), heading
+
+
+def _below_common(blocks: list[tuple[str, str, bool, int, bool]]) -> list[tuple[str, str, bool, int, bool]]:
+    """Blocks, links too, below the nearest element that holds every heading and block that isn't mostly link text."""
+    places = [_container(b[0]) for b in blocks]
+    firm = [steps for (steps, heading), b in zip(places, blocks) if heading or not b[4]]
+    if not firm:
+        return blocks
+    first, last = min(firm), max(firm)
+    top = first[: next((i for i, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))]
+    return [b for (steps, _), b in zip(places, blocks) if steps[: len(top)] == top]
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
