@@ -113,6 +113,20 @@ def test_packing(request, tokenizer, name):
             assert all(r["length"] == 2048 for r in parts[1:])
 
 
+def test_added_tokens_are_taken_whole(spark):
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(MERGES)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "", "<|endoftext|><|endoftext|> x", "two  <|endoftext|>\n\nthree <|endoftext|", "plain text", "it<|endoftext|>'s"] * 2
+    expected = [loaded.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [64, 50256, 65]
+    ids, counts = packing._encoder(MERGES).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
+    rows = packing.query(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), MERGES).collect()
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(expected)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=120))
 def test_plan_uses_every_piece_once(lengths):

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -48,6 +49,7 @@ class Vocabulary:
     """
 
     def __init__(self, path: str):
+        self.added: dict[str, int] = {}
         if path.endswith(".json"):
             self._read_merges(path)
         else:
@@ -71,9 +73,13 @@ class Vocabulary:
 
     def _read_merges(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, added = whole["model"], whole.get("added_tokens") or []
+        if any(a.get(x) for a in added for x in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens must be plain literals")
+        self.added = {a["content"]: a["id"] for a in added}
         names, ids = _byte_names(), model["vocab"]
-        self._name({bytes(names[c] for c in token): i for token, i in ids.items() if all(c in names for c in token)})
+        self._name({bytes(names[c] for c in token): i for token, i in ids.items() if all(c in names for c in token)} | {a.encode(): i for a, i in self.added.items()})
         self.whole = {}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         became = [ids[a + b] for a, b in merges]
@@ -269,6 +275,29 @@ class Cached:
         return ids, np.diff(upto[np.searchsorted(starts, bounds)])
 
 
+class Added:
+    """Ids as the tokenizer gives them when loaded: its added tokens are taken whole before pre-tokens are cut."""
+
+    def __init__(self, own: Cached, added: dict[str, int]):
+        self.own, self.added = own, added
+        self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text)."""
+        if not any(a in t for a in self.added for t in texts):
+            return self.own.encode(texts)
+        parts, owner, after = [], [], []
+        for i, text in enumerate(texts):
+            cut = self.pattern.split(text)
+            parts += cut[::2]
+            owner += [i] * len(cut[::2])
+            after += [*(self.added[a] for a in cut[1::2]), -1]
+        ids, counts = self.own.encode(parts)
+        special = np.array(after, np.int32)
+        ends, met = np.cumsum(counts), special >= 0
+        return np.insert(ids, ends[met], special[met]), np.bincount(owner, counts + met, len(texts)).astype(np.int64)
+
+
 def take_ranges(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """values[start : start + count] of every range, one after another."""
     total = int(counts.sum())

@@ -34,9 +34,9 @@ RANKED = 1000
 
 
 @lru_cache(2)
-def _encoder(path: str) -> bpe.Cached:
+def _encoder(path: str) -> bpe.Added:
     vocab = bpe.vocabulary(path)
-    return bpe.Cached(lambda words: vocab.merge([w.encode() for w in words]))
+    return bpe.Added(bpe.Cached(lambda words: vocab.merge([w.encode() for w in words])), vocab.added)
 
 
 def pieces(docs: DataFrame, vocab_path: str, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
