@@ -139,6 +139,37 @@ def test_plan_uses_every_piece_once(lengths):
     assert (used == counts).all()
 
 
+def best_fit(counts, size):
+    gaps = np.zeros(size + 1, int)
+    for x in range(size, 0, -1):
+        for _ in range(counts[x]):
+            room = np.flatnonzero(gaps[x:])
+            gap = size
+            if len(room):
+                gap = x + int(room[0])
+                gaps[gap] -= 1
+            gaps[gap - x] += 1
+    return gaps.sum()
+
+
+@pytest.mark.parametrize("hot", [{900: 1000, 500: 1000}, {600: 100, 590: 100}, {600: 99}, {680: 90, 700: 90, 4: 50}, {1000: 300, 40: 300, 350: 70}])
+@pytest.mark.parametrize("others", [0, 300])
+def test_hot_lengths_are_packed_as_by_best_fit(hot, others):
+    counts = np.bincount(np.random.default_rng(5).integers(1, 2049, others), minlength=2049)
+    for x, n in hot.items():
+        counts[x] += n
+    found = packing.plan(counts)
+    assert sum(n for _, n in found) <= best_fit(counts, 2048)
+
+
+def test_plan_of_many_pieces_is_short():
+    counts = np.random.default_rng(6).integers(0, 20000, 2049)
+    counts[0], counts[500] = 0, 10**7
+    found = packing.plan(counts)
+    used = sum(n * sum(held) for held, n in found)
+    assert len(found) <= 4 * 2048 and used == (counts * np.arange(2049)).sum() and sum(n for _, n in found) <= used / 2048 * 1.02 + 2
+
+
 def test_exact_complements_fill_sequences():
     counts = np.zeros(65, int)
     counts[[40, 24, 30, 20, 14]] = [3, 3, 5, 5, 5]

@@ -2,10 +2,10 @@
 
 Pieces are planned by length, not one by one: a histogram of at most `size` lengths comes to the
 driver, whatever the number of documents. From the longest on, a length's gap is looked up among
-single lengths, pair sums and triple sums, and combinations that fill it exactly are consumed as often
-as the counts allow; what finds no exact complement takes the longest piece that still fits, and its
-new gap is looked up again. Each step uses up a length or closes a group of sequences, so the plan is
-bounded by the lengths. Pieces then get a rank within their length, and rank ranges name sequences.
+single lengths, pair sums and triple sums that fill it exactly; what finds no exact complement takes the
+longest piece that still fits, of its own length too, and its new gap is looked up again. The sequence so
+found is made as often as the counts allow. Each step all but uses up a length, so the plan is bounded by
+the lengths. Pieces then get a rank within their length, and rank ranges name sequences.
 
 Defined results: a null or empty text is one piece that holds the end id alone; rows that repeat an id
 are separate documents with equal piece numbers; a null id is kept; an empty table gives no rows.
@@ -96,8 +96,35 @@ def _triple(have: np.ndarray, gap: int, sums: list[int]) -> tuple[int, int, int]
     return None
 
 
+def _fill(have: np.ndarray, longest: int, size: int, exact: bool) -> tuple[int, ...]:
+    """Lengths in one sequence that `longest` opens; more pieces of that length are at hand as any others are."""
+    lengths, gap = [longest], size - longest
+    have[longest] -= 1
+    while gap:
+        at_hand = np.flatnonzero(have[1 : gap + 1])[::-1] + 1
+        if not len(at_hand):
+            break
+        sums = () if have[gap] or not exact else _pair(have, gap, longest) or _triple(have, gap, at_hand.tolist())
+        more = sums or (int(at_hand[0]),)
+        for x in more:
+            have[x] -= 1
+        lengths += more
+        gap -= sum(more)
+    for x in lengths:
+        have[x] += 1
+    return tuple(lengths)
+
+
 def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in one sequence, number of such sequences) for counts[length] pieces of each length."""
+    """(lengths in one sequence, number of such sequences) for counts[length] pieces of each length.
+
+    Of the plans with and without sums that fill exactly, the one of fewer sequences: the latter is
+    first fit from the longest on.
+    """
+    return min((_plan(counts, size, exact) for exact in (True, False)), key=lambda found: sum(n for _, n in found))
+
+
+def _plan(counts: np.ndarray, size: int, exact: bool) -> list[tuple[tuple[int, ...], int]]:
     have = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
 
@@ -110,31 +137,8 @@ def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], in
 
     for longest in range(size, 0, -1):
         while have[longest]:
-            n = int(have[longest])
-            have[longest] = 0
-            groups = [((longest,), size - longest, n)]
-            while groups:
-                held, gap, n = groups.pop()
-                while n and gap:
-                    at_hand = np.flatnonzero(have[: gap + 1])[::-1]
-                    if not len(at_hand):
-                        break
-                    exact = (gap,) if have[gap] else _pair(have, gap, longest) or _triple(have, gap, at_hand.tolist())
-                    if not exact:
-                        break
-                    m = take(exact, n)
-                    out.append((held + exact, m))
-                    n -= m
-                if not n:
-                    continue
-                at_hand = np.flatnonzero(have[1 : gap + 1])
-                if not gap or not len(at_hand):
-                    # copies of the length itself may still fit: they were set aside above
-                    out.append((held, n))
-                    continue
-                best = int(at_hand[-1]) + 1
-                m = take((best,), n)
-                groups += [(held, gap, n - m)] * (n > m) + [(held + (best,), gap - best, m)]
+            lengths = _fill(have, longest, size, exact)
+            out.append((lengths, take(lengths, int(have[longest]))))
     return _merge_equal(out, size)
 
 
