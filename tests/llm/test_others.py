@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from trackscan.llm import chat, html, licenses, sketch, topk
+from trackscan.llm import chat, licenses, sketch, topk
 
 
 def decoded(text):
@@ -65,77 +65,6 @@ def test_merge_over_parts(spark, docs):
     assert got[9] == []
 
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
-<header class="site"><h1>Site</h1></header><nav><ul><li><a href="/x">Menu {n}</a></ul></nav>
-<div class="{main}"><h2>Title &amp; {n}</h2><p>First   paragraph <b>number</b> {n} says something about the {n} things.<p>Second&nbsp;one &lt;{n}&gt;<br>goes on here and on
-<div class="q7">Subscribe today for more</div><form>Name <input></form><!-- no --></div>
-<aside>Side {n}</aside><div id="comments"><p>Nice {n}</p></div><div class="cookie-notice">We use cookies</div><footer>&copy; {n}</footer></body>"""
-TEXT = "Title & {n}\nFirst paragraph number {n} says something about the {n} things.\nSecond one <{n}> goes on here and on"
-
-
-@pytest.mark.parametrize("main", ["main article", "c12"])
-def test_template_is_taken_out(spark, main):
-    rows = [(i, f"http://a.example/{i}", PAGE.format(n=i * 7, main=main)) for i in range(8)] + [(100, "http://b.example/", PAGE.format(n=3, main=main))]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in html.query(pages).collect()}
-    for i in range(8):
-        assert got[i]["text"] == TEXT.format(n=i * 7) and got[i]["n_chars"] == len(got[i]["text"])
-    assert "Subscribe today" in got[100]["text"]  # one page has no template
-    classes = html.templates(pages).collect()
-    assert any(r["kind"] == 2 for r in classes) and any(r["parent"] is not None for r in classes)
-
-
-def article(i, n=12):
-    return " ".join(f"word{i}x{k}" for k in range(n * 10))
-
-
-@pytest.mark.parametrize("on", [lambda i: 1, lambda i: int(i % 4 > 0), lambda i: 1 + (i == 3)])
-def test_text_that_no_tag_goes_with_is_template(spark, on):
-    rows = [(i, f"http://a.example/{i}", "<article>" + f"<p>{article(i)}</p>" + "<p>Read more on our site</p>" * on(i) + "</article>") for i in range(8)]
-    got = {r["page_id"]: r["text"] for r in html.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: article(i) for i in range(8)}
-
-
-def test_pages_of_copies_keep_their_text(spark):
-    pages = spark.createDataFrame([(i, "http://a.example/x", "<article><h1>T</h1><p>all the same words here</article>") for i in range(9)], "page_id long, url string, html string")
-    assert {r["text"] for r in html.query(pages).collect()} == {"T\nall the same words here"}
-
-
-@pytest.mark.parametrize(
-    "page",
-    [
-        "<body><h1>Title</h1><div class='c1'><p>{a}</p></div><div class='c2'><p>{b}</p><p>{b2}</p></div></body>",
-        "<body><div><h1><a href='/'>Title</a></h1><p>{a}</p><p>{b} <a href='/y'>short</a></p></div></body>",
-        "<body><div><p>Title</p><p><a href='/x'>{a}</a></p><div><p>{b}</p></div></div></body>",
-        "<body><div><h2>Title</h2><p>{a}</p><p><b>{b}{b2}{b3}</b></p><p>last</p></div></body>",
-        "<body><h1><a href='/'>Title</a></h1><div><p>{b}</p></div></body>",
-        "<body><ul><li><a href='/q'>Elsewhere</a></li></ul><div><p>Title</p><p>{a}</p></div></body>",
-    ],
-)
-def test_unmarked_pages_keep_lead_title_and_links(page):
-    words = {"a": article(1, 3), "b": article(2, 9), "b2": article(3, 1), "b3": article(4, 1)}
-    text = html.extract_page(page.format(**words), frozenset())
-    blocks = [b[1] for b in html.parse(page.format(**words))[1] if b[1] != "Elsewhere"]
-    assert text == "\n".join(blocks) and "Title" in text
-
-
-def test_template_goes_from_short_pages_too(spark):
-    more = "<div class='q7'>Read more of what we write on our site every day of the week</div>"
-    rows = [(i, f"http://www.a.example/{i}", f"<article><p>{article(i, 1 if i == 2 else 20)}</p>{more}</article>") for i in range(8)]
-    rows += [(100 + i, "http://a.example/copy", "<article><p>one page met often</p></article>") for i in range(30)]
-    got = {r["page_id"]: r["text"] for r in html.query(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
-    assert {i: got[i] for i in range(8)} == {i: article(i, 1 if i == 2 else 20) for i in range(8)}
-    assert {got[100 + i] for i in range(30)} == {"one page met often"}
-
-
-def test_odd_pages(spark):
-    rows = [(0, None, None), (1, "", ""), (2, "::", "<"), (3, "http://a/", "<p <p>x"), (4, "http://a/", "<script>x"), (None, "http://a/", "<article>" * 500 + "deep"), (5, "http://a/", "<article>" + "word " * 40000), (5, "http://a/", "plain &eacute; text")]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS host")
-    got = [(r["page_id"], r["text"]) for r in html.query(frame).collect()]
-    assert len(got) == len(rows) and (None, "deep") in got and (5, "plain é text") in got and (0, "") in got
-    assert html.query(frame.limit(0)).collect() == []
-
-
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 

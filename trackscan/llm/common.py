@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +26,10 @@ def share(key: Column, part: float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(GRAIN)) < int(min(1.0, part) * GRAIN)
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_own{i}" for i in range(n + len(taken))) if c not in taken][:n]
 
 
 def strings(column: pa.Array) -> list[str]:
