@@ -162,6 +162,43 @@ def test_hot_lengths_are_packed_as_by_best_fit(hot, others):
     assert sum(n for _, n in found) <= best_fit(counts, 2048)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=12))
+def test_plan_is_never_longer_than_best_fit(hist):
+    counts = np.zeros(65, int)
+    for x, n in hist.items():
+        counts[x] = n
+    least = best_fit(counts, 64)
+    assert sum(n for _, n in packing.plan(counts, 64)) <= least
+    assert sum(n for _, n in packing.best_fit(counts.tolist(), 64)) == least
+
+
+@pytest.mark.parametrize("hist", [{700: 20, 648: 10}, {900: 20, 248: 10}, {600: 30, 248: 10}])
+def test_sums_may_repeat_the_opening_length(hist):
+    counts = np.zeros(2049, int)
+    for x, n in hist.items():
+        counts[x] = n
+    found = packing.complements(counts.tolist(), 2048)
+    assert sum(n for _, n in found) == 10 and all(sum(held) == 2048 for held, _ in found)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), max_size=10), st.lists(st.integers(1, 40), max_size=12))
+def test_sums_are_those_at_hand(hist, taken):
+    have = [hist.get(x, 0) for x in range(41)]
+    sums = packing.Sums(have)
+    for x in [0, *taken]:
+        have[x] = max(0, have[x] - 1)
+        at_hand = [x for x in range(1, 41) for _ in range(have[x])]
+        two = {a + b for i, a in enumerate(at_hand) for b in at_hand[:i]}
+        three = {a + b + c for i, a in enumerate(at_hand) for j, b in enumerate(at_hand[:i]) for c in at_hand[:j]}
+        for total in range(41):
+            for found, known in ((sums.pair(total), two), (sums.triple(total), three)):
+                assert bool(found) == (total in known) and sum(found) == total * bool(found)
+                assert all(have[x] >= found.count(x) for x in found)
+            assert sums.longest(total) == max([x for x in at_hand if x <= total], default=0)
+
+
 def test_plan_of_many_pieces_is_short():
     counts = np.random.default_rng(6).integers(0, 20000, 2049)
     counts[0], counts[500] = 0, 10**7
@@ -179,6 +216,9 @@ def test_exact_complements_fill_sequences():
 def test_hot_lengths_are_ranked_in_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 7)
     rows = spark.createDataFrame([(i, 0, 0, 500 if i % 3 else i % 50 + 1) for i in range(600)], "doc_id long, piece int, start long, length long")
-    done = packing.assign(rows, ("doc_id", "piece")).collect()
+    rows = rows.selectExpr("*", "1 AS _salt", "2 AS _rank", "3 AS _place", "4 AS _own0", "5 AS _before", "'x' AS n")
+    done = packing.assign(rows, ("doc_id", "piece"))
+    assert done.columns == [*rows.columns, "sequence_id", "offset"] and {tuple(r)[4:10] for r in done.collect()} == {(1, 2, 3, 4, 5, "x")}
+    done = done.collect()
     places = Counter((r["sequence_id"], r["offset"]) for r in done)
     assert len(done) == 600 and max(places.values()) == 1

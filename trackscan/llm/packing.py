@@ -1,19 +1,20 @@
 """Best-fit packing of documents into sequences (operator 5).
 
 Pieces are planned by length, not one by one: a histogram of at most `size` lengths comes to the
-driver, whatever the number of documents. From the longest on, a length's gap is looked up among
-single lengths, pair sums and triple sums that fill it exactly; what finds no exact complement takes the
-longest piece that still fits, of its own length too, and its new gap is looked up again. The sequence so
-found is made as often as the counts allow. Each step all but uses up a length, so the plan is bounded by
-the lengths. Pieces then get a rank within their length, and rank ranges name sequences.
-
-Defined results: a null or empty text is one piece that holds the end id alone; rows that repeat an id
-are separate documents with equal piece numbers; a null id is kept; an empty table gives no rows.
+driver, whatever the number of documents. From the longest on, a gap is looked up in an index of the sums of
+one, two and three lengths under the counts at hand, which may be of the opening length itself; what
+finds no exact complement takes the longest piece that still fits, and its new gap is looked up again. The
+sequence so found is made as often as the counts allow. Where plain best fit needs fewer sequences its plan is
+taken. Each step all but uses up a length, so a plan is bounded by the lengths. Pieces then get a rank
+within their length, and rank ranges name sequences.
+
+Defined results: a null or empty text is one piece that holds the end id alone; a very long one is cut into
+as many pieces as it needs; rows that repeat an id are separate documents with equal piece numbers; a null id
+is kept; extra columns of `assign` are kept, but for sequence_id and offset; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 
 from trackscan.llm import bpe
 from trackscan.llm import textvec as tv
-from trackscan.llm.common import materialize, strings
+from trackscan.llm.common import fresh, materialize, strings
 
 SIZE = 2048
 END_ID = 0
@@ -70,90 +71,115 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = SIZE, key: str = "doc_i
     return source.mapInArrow(work, f"k {kind}, piece int, start bigint, length bigint, ids binary").withColumnRenamed("k", key)
 
 
-def _pair(have: np.ndarray, gap: int, own: int) -> tuple[int, int] | None:
-    """Lengths a >= b with a + b = gap that are both at hand, a as long as can be."""
-    if gap < 2:
-        return None
-    a = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
-    b = gap - a
-    ok = (have[a] > 0) & (have[b] > np.where(a == b, 1, 0))
-    at = int(ok.argmax())
-    return (int(a[at]), int(b[at])) if ok[at] else None
-
-
-def _triple(have: np.ndarray, gap: int, sums: list[int]) -> tuple[int, int, int] | None:
-    """Lengths a >= b >= c at hand with a + b + c = gap."""
-    for a in sums:
-        if a > gap - 2:
-            continue
-        if 3 * a < gap:
-            return None
-        have[a] -= 1
-        rest = _pair(have, gap - a, a)
-        have[a] += 1
-        if rest and rest[0] <= a:
-            return (a, *rest)
-    return None
-
-
-def _fill(have: np.ndarray, longest: int, size: int, exact: bool) -> tuple[int, ...]:
-    """Lengths in one sequence that `longest` opens; more pieces of that length are at hand as any others are."""
-    lengths, gap = [longest], size - longest
-    have[longest] -= 1
-    while gap:
-        at_hand = np.flatnonzero(have[1 : gap + 1])[::-1] + 1
-        if not len(at_hand):
-            break
-        sums = () if have[gap] or not exact else _pair(have, gap, longest) or _triple(have, gap, at_hand.tolist())
-        more = sums or (int(at_hand[0]),)
-        for x in more:
-            have[x] -= 1
-        lengths += more
-        gap -= sum(more)
-    for x in lengths:
-        have[x] += 1
-    return tuple(lengths)
+class Sums:
+    """The sums of one, two and three lengths at hand, each with the combination that gives it.
+
+    `have` counts the pieces of each length and only falls, so a combination that can't be had any more never
+    can again: every sum keeps its place in the list of its combinations, longest first, and moves on from there.
+    """
+
+    def __init__(self, have: list[int]):
+        self.have = have
+        self.below = [x - 1 for x in range(len(have))]  # the next length to look at below one that is used up
+        self.pair_at = [s - 1 for s in range(len(have))]
+        self.triple_at = [s - 2 for s in range(len(have))]
+
+    def longest(self, most: int) -> int:
+        """The longest length at hand up to `most`; 0 if there is none."""
+        at, passed = most, []
+        while at and not self.have[at]:
+            passed.append(at)
+            at = self.below[at]
+        for x in passed:
+            self.below[x] = at
+        return at
+
+    def pair(self, total: int) -> tuple[int, ...]:
+        """Lengths a >= b with that sum; empty if none are at hand."""
+        a = self.pair_at[total]
+        while 2 * a >= total > 1 and not (self.have[total - a] and self.have[a] > (2 * a == total)):
+            a -= 1
+        self.pair_at[total] = a
+        return (a, total - a) if 2 * a >= total > 1 else ()
+
+    def triple(self, total: int) -> tuple[int, ...]:
+        """Lengths a >= b >= c with that sum; empty if none are at hand."""
+        a = self.triple_at[total]
+        while 3 * a >= total > 2:
+            rest = total - a
+            if self.have[a] and self.pair(rest):
+                # one a is taken, and the others are no longer than it
+                for b in range(min(self.pair_at[rest], a), (rest - 1) // 2, -1):
+                    need = (a, b, rest - b)
+                    if all(self.have[x] >= need.count(x) for x in need):
+                        self.triple_at[total] = a
+                        return need
+            a -= 1
+        self.triple_at[total] = a
+        return ()
+
+    def exactly(self, gap: int) -> tuple[int, ...]:
+        return (gap,) if self.have[gap] else self.pair(gap) or self.triple(gap)
 
 
 def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, number of such sequences) for counts[length] pieces of each length.
 
-    Of the plans with and without sums that fill exactly, the one of fewer sequences: the latter is
-    first fit from the longest on.
+    Of the plan by exact complements and plain best fit from the longest on, the one of fewer sequences.
     """
-    return min((_plan(counts, size, exact) for exact in (True, False)), key=lambda found: sum(n for _, n in found))
+    have = [int(n) for n in counts]
+    return min(complements(have, size), best_fit(have, size), key=lambda found: sum(n for _, n in found))
 
 
-def _plan(counts: np.ndarray, size: int, exact: bool) -> list[tuple[tuple[int, ...], int]]:
-    have = counts.astype(np.int64).copy()
+def complements(counts: list[int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan that fills gaps exactly wherever one, two or three lengths can, and else by the longest that fits."""
+    have = list(counts)
+    sums = Sums(have)
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(lengths: tuple[int, ...], most: int) -> int:
+    while first := sums.longest(size):
+        lengths: tuple[int, ...] = ()
+        more: tuple[int, ...] = (first,)
+        gap = size
+        while more:
+            for x in more:
+                have[x] -= 1
+            lengths += more
+            gap -= sum(more)
+            more = sums.exactly(gap) if gap else ()
+            if gap and not more:
+                best = sums.longest(gap)
+                more = (best,) if best else ()
         uses = {x: lengths.count(x) for x in lengths}
-        n = min([most, *(int(have[x]) // k for x, k in uses.items())])
+        n = min((have[x] + k) // k for x, k in uses.items())
         for x, k in uses.items():
-            have[x] -= k * n
-        return n
-
-    for longest in range(size, 0, -1):
-        while have[longest]:
-            lengths = _fill(have, longest, size, exact)
-            out.append((lengths, take(lengths, int(have[longest]))))
-    return _merge_equal(out, size)
-
-
-def _merge_equal(found: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences that are left with room for whole others are joined, first fit from the emptiest."""
-    done = [x for x in found if size - sum(x[0]) < min(sum(x[0]), size)]
-    loose = sorted((x for x in found if not size - sum(x[0]) < min(sum(x[0]), size)), key=lambda x: -sum(x[0]))
-    for lengths, n in loose:
-        used = sum(lengths)
-        fit = max(1, size // used)
-        if n // fit:
-            done.append((lengths * fit, n // fit))
-        if n % fit:
-            done.append((lengths * (n % fit), 1))
-    return done
+            have[x] -= k * (n - 1)
+        out.append((lengths, n))
+    return out
+
+
+def best_fit(counts: list[int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit from the longest on: each piece goes where it leaves the least room; equal sequences are kept as one."""
+    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def put(lengths: tuple[int, ...], room: int, n: int) -> None:
+        if n:
+            rooms.setdefault(room, []).append((lengths, n))
+
+    for x in range(size, 0, -1):
+        left = counts[x]
+        for room in sorted(r for r in rooms if r >= x and rooms[r]) if left else ():
+            fit = room // x
+            while left and rooms[room]:
+                lengths, n = rooms[room].pop()
+                whole, some = min(n, left // fit), left % fit if left // fit < n else 0
+                put(lengths + (x,) * fit, room - fit * x, whole)
+                put(lengths + (x,) * some, room - some * x, int(some > 0))
+                put(lengths, room, n - whole - (some > 0))
+                left -= whole * fit + some
+        fit = size // x
+        put((x,) * fit, size - fit * x, left // fit)
+        put((x,) * (left % fit), size - left % fit * x, int(left % fit > 0))
+    return [x for own in rooms.values() for x in own]
 
 
 def assign(rows: DataFrame, order: tuple[str, ...], size: int = SIZE) -> DataFrame:
@@ -168,17 +194,19 @@ def assign(rows: DataFrame, order: tuple[str, ...], size: int = SIZE) -> DataFra
         counts[length] = n
     found = plan(counts, size)
     salts = np.maximum(1, np.ceil(counts / np.maximum(RANKED, np.sqrt(counts)))).astype(np.int64)
-    salt_of = F.array(*(F.lit(int(x)) for x in salts)) if len(salts) <= size + 1 else None
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.element_at(salt_of, (F.col("length") + 1).cast("int"))))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-    placed = ranked.join(before.select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before")), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    return _name(placed, found, size).drop("_salt", "_rank", "_before")
-
-
-def _name(placed: DataFrame, found: list[tuple[tuple[int, ...], int]], size: int) -> DataFrame:
-    """sequence_id and offset of each (length, _rank) from the ranges of ranks that the plan makes."""
+    salt_of = F.array(*(F.lit(int(x)) for x in salts))
+    salt, rank, before, n = fresh(rows, 4)
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*order), F.element_at(salt_of, (F.col("length") + 1).cast("int"))))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    running = F.sum(n).over(Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
+    ahead = sizes.select("length", salt, F.coalesce(running, F.lit(0)).alias(before))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)) - 1)
+    placed = ranked.join(ahead, ["length", salt]).withColumn(rank, F.col(rank) + F.col(before))
+    return _name(placed, rank, found, size).select(*(c for c in rows.columns if c not in ("sequence_id", "offset")), "sequence_id", "offset")
+
+
+def _name(placed: DataFrame, rank_column: str, found: list[tuple[tuple[int, ...], int]], size: int) -> DataFrame:
+    """sequence_id and offset of each (length, rank) from the ranges of ranks that the plan makes."""
     used = np.zeros(size + 1, np.int64)
     ranges = []
     base = 0
@@ -200,7 +228,9 @@ def _name(placed: DataFrame, found: list[tuple[tuple[int, ...], int]], size: int
         at = np.searchsorted(keys, length.to_numpy() << 44 | rank.to_numpy(), "right") - 1
         return pd.DataFrame({"sequence_id": table[at, 2] + rank.to_numpy() - table[at, 1], "offset": table[at, 3]})
 
-    return placed.withColumn("_place", lookup(F.col("length"), F.col("_rank"))).withColumns({"sequence_id": F.col("_place.sequence_id"), "offset": F.col("_place.offset")}).drop("_place")
+    place = fresh(placed, 1)[0]
+    found_at = placed.withColumn(place, lookup(F.col("length"), F.col(rank_column)))
+    return found_at.withColumns({name: F.col(place)[name] for name in ("sequence_id", "offset")}).drop(place)
 
 
 def query(docs: DataFrame, vocab_path: str, size: int = SIZE) -> DataFrame:
