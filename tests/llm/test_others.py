@@ -106,6 +106,33 @@ def test_chat_rotation(spark):
     assert by[2, "ann", 0]["n_turns"] == 2 and by[None, "unknown", 0]["rendered"] == "<|assistant|>\nx<|end|>\n"
 
 
+@pytest.mark.parametrize("hot,block", [(4096, 1024), (3, 2), (1, 1)])
+def test_chat_slices_hold_the_whole_dialogue(spark, monkeypatch, hot, block):
+    """Null, repeated and far turn numbers: the slices of a perspective, in order of start, are gapless and hold each turn once."""
+    monkeypatch.setattr(chat, "BLOCK", block)
+    monkeypatch.setattr(chat, "COPIES", 2)
+    rows = [(1, n, who, text) for n, who, text in [(None, "a", "x"), (None, None, None), (0, "a", "hi"), (1, "b", "yo"), (64, "a", "far"), (64 * 9, "c", ""), (65, "b", "é" * 9)]]
+    rows += [(1, 1, "a", "same")] * 9 + [(1, 1, "b", f"t{i}") for i in range(7)] + [(1, None, "a", "n")] * 5 + [(None, 3, "a", "q"), (None, None, "b", "r"), (2, 0, "a", "z" * 50000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS c", "3 AS copy", "4 AS participant")
+    done = chat.rotate(frame, hot=hot).collect()
+    people = {(c, who or "unknown") for c, _, who, _ in rows}
+    assert {(r["conv_id"], r["participant"]) for r in done} == people
+    for c, person in people:
+        own = sorted((r for r in done if (r["conv_id"], r["participant"]) == (c, person)), key=lambda r: r["start"])
+        order = [(r["part"], *((r["slice"]["turn"] is not None, r["slice"]["turn"] or 0, r["slice"]["bucket"], r["slice"]["copy"]) if r["slice"] else ())) for r in own]
+        assert order == sorted(order)
+        whole = "".join(r["rendered"] for r in own)
+        assert [r["start"] for r in own] == [len("".join(x["rendered"] for x in own[:i])) for i in range(len(own))]
+        turns = whole.split("<|end|>\n")[:-1]
+        expected = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "unknown", r[3] or ""))
+        lines = [("<|assistant|>\n" if (who or "unknown") == person else f"<|user name={who or 'unknown'}|>\n") + (text or "") for _, _, who, text in expected]
+        assert turns == lines if hot == 4096 else sorted(turns) == sorted(lines)
+        said = [whole[m["start"] : m["end"]] for r in own for m in r["masks"]]
+        assert said == [t.split("\n", 1)[1] + "<|end|>\n" for t in turns if t.startswith("<|assistant|>")]
+        assert sum(r["n_turns"] for r in own) == len(expected)
+    assert chat.rotate(frame.limit(0)).collect() == []
+
+
 def test_native_operators_run_no_python(spark, odd):
     turns = spark.createDataFrame([(1, 0, "a", "b")], "conv_id long, turn long, role string, text string")
     for frame in (chat.query(turns), licenses.query(odd)):
