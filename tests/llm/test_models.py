@@ -46,28 +46,54 @@ def test_toxicity_held_out(spark):
     held = [k for k in truth if found[k]["held_out"]]
     assert all(found[k]["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k in found)
     score, toxic = np.array([found[k]["score"] for k in held]), np.array([truth[k] > 0 for k in held])
-    rank = score.argsort().argsort()
-    auc = (rank[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum()
-    assert auc >= 0.95 and (score[~toxic] < 0.5).mean() >= 0.98
+    assert auc(score, toxic) >= 0.95 and (score[~toxic] < 0.5).mean() >= 0.98
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in found.values())
 
 
-def test_toxicity_learns_interactions():
-    rng = np.random.default_rng(0)
+def told(seed, n, toxic):
+    """Texts of eight common words and two rare ones, and whether `toxic` of the two holds."""
+    rng = np.random.default_rng(seed)
     filler = ["river", "stone", "cloud", "paper", "window", "garden", "music", "train"]
-    texts, toxic = [], []
-    for _ in range(1500):
-        words = list(rng.choice(filler, 4))
+    texts, found = [], []
+    for _ in range(n):
         insult, group = rng.random() < 0.5, rng.random() < 0.5
-        texts.append(" ".join(words + ["zorgs"] * insult + ["quexes"] * group))
-        toxic.append(insult and group)
-    made = toxicity.train(texts, np.array(toxic))
+        texts.append(" ".join(list(rng.choice(filler, 4)) + ["zorgs"] * insult + ["quexes"] * group))
+        found.append(toxic(insult, group))
+    return texts, np.array(found)
+
+
+def auc(score, toxic):
+    rank = score.argsort(kind="stable").argsort()
+    return (rank[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum()
+
+
+def test_toxicity_learns_interactions():
+    texts, toxic = told(0, 1500, lambda a, b: a and b)
+    made = toxicity.train(toxicity.packed(texts), toxic)
     alone, other, both = made.score(["river zorgs", "river quexes", "river zorgs quexes"])
     assert both > 0.9 and alone < 0.3 and other < 0.3
     place = made.place[toxicity.features(["zorgs"])[1][0]], made.place[toxicity.features(["quexes"])[1][0]]
     assert made.vectors[place[0]] @ made.vectors[place[1]] > 0
 
 
+def test_toxicity_learns_terms_that_tell_nothing_alone():
+    texts, toxic = told(1, 3000, lambda a, b: a != b)
+    made = toxicity.train(toxicity.packed(texts), toxic)
+    more, truth = told(2, 500, lambda a, b: a != b)
+    assert auc(made.score(more), truth) > 0.95
+
+
+@pytest.mark.parametrize("texts", [["zorgs quexes river", "", "river river", "unknown words zorgs", "x" * 9000 + " zorgs"]])
+def test_toxicity_equals_a_dense_machine(texts):
+    learned, toxic = told(3, 300, lambda a, b: a or b)
+    made = toxicity.Machine.load(toxicity.train(toxicity.packed(learned), toxic).dump())
+    for text, score in zip(texts, made.score(texts)):
+        held = sorted({made.place[b] for b in toxicity.features([text])[1].tolist() if made.place[b] >= 0})
+        pairs = sum(float(made.vectors[a] @ made.vectors[b]) for i, a in enumerate(held) for b in held[:i])
+        raw = made.bias + sum(float(made.weights[t]) for t in held) + pairs / max(len(held), 1)
+        assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-5
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 0, 1), (1, 0, 0), (2, None, None), (None, 1, 1), (5, 0, 0), (5, 0, 1), (10, 1, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.query(odd, labels).collect()

@@ -2,12 +2,18 @@
 
 Terms are the lower-cased words of a text and their first three to six letters, hashed into buckets. A
 text's features are the buckets that it holds, each once. Besides a bias and a weight for each bucket
-the machine learns a vector for each, and adds the inner products of every pair of buckets that meet,
-so that two terms can mean more together than alone; the pair sum costs no more than a linear one.
-
-Defined results: a null, empty or wordless text has no features and scores by the bias alone; with
-nothing to learn from every text scores 0; a document with several labels counts as toxic if one of
-them says so, and null labels or ids aren't learned from; scores look at the text alone.
+the machine learns a vector for each, and adds the mean over buckets of the inner products of every pair that
+meets, so that two terms can mean more together than alone; the pair sum costs no more than a linear one.
+
+Every bucket that two learned texts hold has a weight and a vector; none is chosen by its own rates. Weights
+are learned together by proximal gradient steps, a bucket's penalty being TAU standard errors of its gradient;
+then vectors are learned by AdaGrad on what the weights leave open.
+
+Defined results: a null, empty or wordless text has no features and scores by the bias alone; a very long one
+is scored whole; with nothing to learn from every text scores 0; a document with several labels counts as
+toxic if one of them says so, and of rows that repeat a learned id the least text is learned; null labels or
+ids aren't learned from; equal texts score alike, and scores look at the text alone; an empty table gives no
+rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +28,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackscan.llm import textvec as tv
-from trackscan.llm.common import fold, share, strings
+from trackscan.llm.common import fold, fresh, share, strings
 
 #: Labelled documents that the machine learns from, about; chosen by a hash of the id, texts whole.
 SAMPLE = 12_000
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
-FACTORS = 8
-#: Buckets with a weight: those whose rates among toxic and other texts differ most clearly.
-KEPT, LEAST_Z, LEAST_DOCS = 4096, 4.0, 4
-ROUNDS, RATE, DECAY = 60, 0.1, 1e-4
+FACTORS = 4
+#: How far the classes' shares in the loss keep their rates: 0 not at all, 1 wholly.
+EVEN = 0.25
+#: Penalty of weights in standard errors, and steps; decay of vectors, rounds, rate and texts of a step.
+TAU, STEPS = 2.0, 80
+DECAY, ROUNDS, RATE, BATCH = 0.002, 8, 0.05, 256
+#: A text's buckets as it is learned from: little-endian unsigned 32-bit numbers, ascending.
+PACKED = "<u4"
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +76,7 @@ class Machine:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, bias=self.bias, buckets=self.buckets, weights=self.weights, vectors=self.vectors)
+        np.savez(out, bias=self.bias, buckets=self.buckets.astype(PACKED), weights=self.weights.astype(np.float32), vectors=self.vectors.astype(np.float32))
         return out.getvalue()
 
     @classmethod
@@ -75,12 +85,12 @@ class Machine:
         return cls(float(x["bias"]), x["buckets"], x["weights"], x["vectors"])
 
     def raw(self, n: int, row: np.ndarray, term: np.ndarray) -> np.ndarray:
-        """Sum of bias, weights and pair products for n texts of (row, index of bucket) pairs."""
-        total = self.bias + np.bincount(row, self.weights[term], n)
+        """Bias, sum of weights and mean of pair products for n texts of (row, index of bucket) pairs."""
+        pairs = np.zeros(n)
         for f in range(self.vectors.shape[1]):
             v = self.vectors[term, f]
-            total += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
-        return total
+            pairs += np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n)
+        return self.bias + np.bincount(row, self.weights[term], n) + 0.5 * pairs / np.maximum(np.bincount(row, minlength=n), 1)
 
     def score(self, texts: list[str]) -> np.ndarray:
         n = len(texts)
@@ -90,74 +100,117 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(n, row, self.place[bucket]), -30, 30)))
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Machine:
-    """A machine learned by AdaGrad on the logistic loss, the rarer class weighted up."""
-    none = np.zeros(0)
-    if not len(texts) or not toxic.any() or toxic.all():
-        return Machine(-30.0 if not toxic.any() else 30.0, none.astype(np.int64), none, np.zeros((0, FACTORS)))
-    rows, buckets = [], []
+def packed(texts: list[str]) -> list[bytes]:
+    """The buckets of each text."""
+    out: list[bytes] = []
     for a, b in tv.slices(texts):
         row, bucket = once(*features(texts[a:b]))
-        rows.append(row + a)
-        buckets.append(bucket)
-    row, bucket = np.concatenate(rows), np.concatenate(buckets)
-    p, n = toxic.sum(), (~toxic).sum()
-    in_p = np.bincount(bucket[toxic[row]], minlength=1 << BITS)
-    in_n = np.bincount(bucket[~toxic[row]], minlength=1 << BITS)
-    rate = (in_p + in_n) / len(texts)
-    z = (in_p / p - in_n / n) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / p + 1 / n))
-    clear = np.flatnonzero((np.abs(z) >= LEAST_Z) & (in_p + in_n >= LEAST_DOCS))
-    kept = np.sort(clear[np.lexsort((clear, -np.abs(z[clear])))[:KEPT]])
-    place = np.full(1 << BITS, -1)
+        cuts = np.searchsorted(row, np.arange(b - a + 1))
+        out += [bucket[x:y].astype(PACKED).tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return out
+
+
+def train(held: list[bytes], toxic: np.ndarray) -> Machine:
+    """A machine learned from texts' buckets on the logistic loss, the rarer class weighted up."""
+    none = np.zeros(0)
+    if not len(held) or not toxic.any() or toxic.all():
+        return Machine(-30.0 if not toxic.any() else 30.0, none.astype(np.int64), none, np.zeros((0, FACTORS)))
+    n = len(held)
+    bucket = np.frombuffer(b"".join(held), PACKED)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) // 4 for x in held])
+    met = np.bincount(bucket, minlength=1 << BITS)
+    own = met[bucket] > 1
+    row, bucket = row[own], bucket[own]
+    kept = np.flatnonzero(met > 1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    own = place[bucket] >= 0
-    row, term = row[own], place[bucket[own]]
+    term = place[bucket]
+    p, q = toxic.mean() ** EVEN, (~toxic).mean() ** EVEN
+    share_of = np.where(toxic, p / (p + q) / toxic.sum(), q / (p + q) / (~toxic).sum())
+    bias, weights = learn_weights(row, term, len(kept), toxic, share_of)
+    vectors = learn_vectors(row, term, len(kept), toxic, share_of, bias + np.bincount(row, weights[term], n))
+    return Machine(bias, kept, weights, vectors)
+
+
+def learn_weights(row: np.ndarray, term: np.ndarray, k: int, toxic: np.ndarray, share_of: np.ndarray) -> tuple[float, np.ndarray]:
+    """Bias and weights: accelerated proximal gradient, each bucket's step from its own curvature bound."""
+    n = len(toxic)
+    size = np.bincount(row, minlength=n)
+    penalty = TAU * np.sqrt(np.bincount(term, (0.5 * share_of)[row] ** 2, k))
+    step = 4 / np.maximum(np.bincount(term, (share_of * size)[row], k), 1e-12)
+    order = np.argsort(term, kind="stable")
+    by_term, first = row[order], np.searchsorted(term[order], np.arange(k))
+    weights = ahead = np.zeros(k)
+    bias = bias_ahead = 0.0
+    pace = 1.0
+    for _ in range(STEPS):
+        raw = bias_ahead + np.bincount(row, ahead[term], n)
+        error = share_of * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - toxic)
+        moved = ahead - step * np.add.reduceat(error[by_term], first) if k else ahead
+        moved = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        bias_moved = bias_ahead - 4 * error.sum()
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, bias_ahead = moved + (pace - 1) / faster * (moved - weights), bias_moved + (pace - 1) / faster * (bias_moved - bias)
+        weights, bias, pace = moved, bias_moved, faster
+    return float(bias), weights
+
+
+def learn_vectors(row: np.ndarray, term: np.ndarray, k: int, toxic: np.ndarray, share_of: np.ndarray, linear: np.ndarray) -> np.ndarray:
+    """Vectors of all buckets, for pair products beside `linear`, by AdaGrad over fixed groups of texts."""
+    n = len(toxic)
+    cuts = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(7)
-    made = Machine(float(np.log(p / n)), kept, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
-    weight = np.where(toxic, 0.5 / p, 0.5 / n) * len(texts)
-    order = np.argsort(row, kind="stable")
-    row, term = row[order], term[order]
-    slots = np.zeros(1), np.zeros(len(kept)), np.zeros((len(kept), FACTORS))
-    batch = 256
-    cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+    vectors = rng.normal(0, 0.05, (k, FACTORS)).astype(np.float32)
+    slots = np.full((k, FACTORS), 1e-8, np.float32)
+    groups = []
+    for part in np.array_split(rng.permutation(n), max(1, n // BATCH)):
+        size = cuts[part + 1] - cuts[part]
+        part, size = part[size > 0], size[size > 0]
+        if not len(part):
+            continue
+        starts = np.cumsum(size) - size
+        at = np.repeat(cuts[part] - starts, size) + np.arange(int(size.sum()))
+        held = term[at]
+        order = np.argsort(held, kind="stable").astype(np.int32)
+        used, first = np.unique(held[order], return_index=True)
+        groups.append((part, size, starts, held, np.repeat(np.arange(len(part), dtype=np.int32), size), order, used, first))
     for _ in range(ROUNDS):
-        for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
-            size = cuts[part + 1] - cuts[part]
-            at = np.repeat(cuts[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            r, t = np.repeat(np.arange(len(part)), size), term[at]
-            s = np.stack([np.bincount(r, made.vectors[t, f], len(part)) for f in range(FACTORS)], 1)
-            raw = made.bias + np.bincount(r, made.weights[t], len(part)) + 0.5 * ((s**2).sum(1) - np.bincount(r, (made.vectors[t] ** 2).sum(1), len(part)))
-            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - toxic[part]) * weight[part] / len(part)
-            grad_w = np.bincount(t, error[r], len(kept)) + DECAY * made.weights
-            grad_v = np.stack([np.bincount(t, error[r] * (s[r, f] - made.vectors[t, f]), len(kept)) for f in range(FACTORS)], 1) + DECAY * made.vectors
-            slots[0][0] += error.sum() ** 2
-            made.bias -= RATE * error.sum() / np.sqrt(slots[0][0] + 1e-8)
-            for x, g, slot in ((made.weights, grad_w, slots[1]), (made.vectors, grad_v, slots[2])):
-                slot += g * g
-                x -= RATE * g / np.sqrt(slot + 1e-8)
-    return made
+        for i in rng.permutation(len(groups)):
+            part, size, starts, held, r, order, used, first = groups[i]
+            v = vectors[held]
+            total = np.add.reduceat(v, starts)
+            raw = linear[part] + 0.5 * ((total**2).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), starts)) / size
+            error = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - toxic[part]) * share_of[part] * (n / len(part)) / size).astype(np.float32)
+            grad = np.add.reduceat((error[r, None] * (total[r] - v))[order], first) + DECAY * vectors[used]
+            slots[used] += grad * grad
+            vectors[used] -= RATE * grad / np.sqrt(slots[used])
+    return vectors
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", learn: Column | None = None, sample: int = SAMPLE) -> bytes:
-    """A machine learned in one task from about `sample` labelled documents."""
+    """A machine learned in one task from about `sample` labelled documents.
+
+    All tasks turn the chosen texts into buckets, whole; the one task gets 2**BITS of them a text at most.
+    """
     own = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k IS NOT NULL AND y IS NOT NULL")
     if learn is not None:
         own = own.where(learn)
     n = own.count()
     chosen = own.where(share(F.col("k"), sample / max(n, 1))).groupBy("k").agg(F.max("y").alias("y"))
     # about `sample` keys and labels, whatever the size of the tables: small enough to broadcast
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "k").select("t", "y")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "k")
+    # rows that repeat an id are one, so that the sample is bounded
+    rows = rows.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[str] = []
-        toxic: list[bool] = []
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts += strings(batch.column(0))
-            toxic += [y > 0 for y in batch.column(1).to_pylist()]
-        order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))  # the same machine from any order
-        yield pa.RecordBatch.from_arrays([pa.array([train([texts[i] for i in order], np.array([toxic[i] for i in order], bool)).dump()], pa.binary())], ["model"])
+            yield pa.RecordBatch.from_arrays([pa.array(packed(strings(batch.column(0))), pa.binary()), pa.array([y > 0 for y in batch.column(1).to_pylist()])], ["held", "toxic"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((held, toxic) for batch in batches for held, toxic in zip(*(c.to_pylist() for c in batch.columns)))  # the same machine from any order
+        yield pa.RecordBatch.from_arrays([pa.array([train([held for held, _ in rows], np.array([toxic for _, toxic in rows], bool)).dump()], pa.binary())], ["model"])
 
-    found = rows.repartition(1).mapInArrow(work, "model binary").collect()
+    found = rows.mapInArrow(pack, "held binary, toxic boolean").repartition(1).mapInArrow(work, "model binary").collect()
     return bytes(found[0]["model"]) if found else train([], np.zeros(0, bool)).dump()
 
 
@@ -173,7 +226,7 @@ def _machine(data: bytes) -> Machine:
 
 def score(docs: DataFrame, model: bytes, text: str = "text", column: str = "score") -> DataFrame:
     """docs with the score of each text, 0 to 1; a column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEPT
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS buckets
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _machine(shared.value)
@@ -197,5 +250,6 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more."""
-    done = score(docs, fit(docs, labels, learn=learnable()), column="_toxicity")
-    return done.where(F.col("_toxicity") < 0.5).select(docs.columns)
+    own = fresh(docs, 1)[0]
+    done = score(docs, fit(docs, labels, learn=learnable()), column=own)
+    return done.where(F.col(own) < 0.5).drop(own)
