@@ -8,12 +8,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trackscan.config import CORE, EXPANDED, Config, Rails, with_margins
 from trackscan.functions.exprs import register
-from trackscan.operators import axis, cluster, decide, envelope, evaluate, perf, quality, temporal
+from trackscan.operators import axis, cluster, decide, envelope, evaluate, perf, quality, temporal, viewer
 from trackscan.plans.pipeline import Pipeline
-from trackscan.sources import bags, codecs
+from trackscan.sources import bags, codecs, sinks
+from trackscan.streaming.confirm import run_available
 
 POINTS = "source_id long, frame_index long, source_index long, x float, y float, z float"
 
@@ -59,6 +61,15 @@ def test_wireframe_and_validation(spark, bent):
     assert axis.validate_pairs(bent.limit(1)).first()["reason"] == "TOO_FEW_PAIRS"
 
 
+def test_equal_centres_are_no_division_by_zero(spark, bent):
+    twice = bent.limit(1).unionByName(bent.limit(1).withColumn("s", F.col("s") + 1.0))
+    assert axis.segments(twice).count() == 0 and axis.validate_pairs(twice).first()["reason"] == "EQUAL_SECTIONS"
+    detected = spark.createDataFrame([(0, 0, "AUTO_HYPOTHESIS", "fine")], "source_id long, frame_index long, status string, reason string")
+    packed = twice.groupBy("source_id", "frame_index").agg(F.collect_list(F.struct("s", "left", "right")).alias("rail_pairs"))
+    found, segs = Pipeline(Config(extension="observed")).axis(detected.join(packed, ["source_id", "frame_index"]))
+    assert (found.first()["status"], found.first()["reason"]) == ("UNKNOWN", "EQUAL_SECTIONS") and segs.count() == 0
+
+
 def test_arcs(spark):
     rows = [(s, float(60 * (1 - np.cos(s / 60))), float(-60 * np.sin(s / 60))) for s in (2.0, 4.0, 6.0, 8.0, 10.0)]
     point = "struct<x:float,y:float,z:float>"
@@ -196,3 +207,45 @@ def test_sql_functions(spark):
     register(spark)
     r = spark.sql("SELECT zone_of(0D, 1D) AS a, zone_of(1.5D, 1D) AS b, zone_of(3D, 1D) AS c, lower_quantile(array(5D, 1D, 2D, 3D, 4D), 0.9D) AS q").first()
     assert tuple(r) == (1, 2, 3, 4.0)
+
+
+def test_framed_files_batch_and_stream(spark, tmp_path):
+    frame = lambda xyz: struct.pack("<Q", len(xyz)) + np.array(xyz, "<f4").tobytes()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.bin").write_bytes(frame([(1, 2, 3), (4, 5, 6)]) + frame([(7, 8, 9)]))
+    (tmp_path / "in/b.bin").write_bytes(frame([(1, 1, 1)]) + b"\x05\x00")
+    (tmp_path / "in/c.bin").write_bytes(b"")
+    expected = {("a", 0, 0, 1.0, None), ("a", 0, 1, 4.0, None), ("a", 1, 0, 7.0, None), ("b", 0, 0, 1.0, None), ("b", 1, None, None, "TRUNCATED_FRAME")}
+    rows = lambda df: {(r["path"][-5], r["frame_index"], r["source_index"], r["x"], r["reason"]) for r in df.collect()}
+    assert rows(codecs.framed_points(spark.read.format("binaryFile").load(str(tmp_path / "in")))) == expected
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = codecs.framed_points(spark.readStream.schema(schema).format("binaryFile").load(str(tmp_path / "in")))
+    run_available(stream, str(tmp_path / "out"))
+    assert rows(spark.read.parquet(str(tmp_path / "out/table"))) == expected
+
+
+def test_results_stream_to_json_lines(spark, tmp_path):
+    result = spark.createDataFrame([(0, 0, "UNKNOWN", [1]), (0, 1, "OBSERVED_MARGIN_RETURN", [])], "source_id long, frame_index long, status string, indices array<long>")
+    result.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second call finds nothing new
+        sinks.stream_json_lines(spark.readStream.schema(result.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out/lines")).collect()]
+    assert sorted(x["status"] for x in lines) == ["OBSERVED_MARGIN_RETURN", "UNKNOWN"] and all("indices" not in x for x in lines)
+
+
+def test_viewer_points_and_reviews(spark):
+    own = points(spark, [(i, 0, 0) for i in range(4)])
+    public = spark.createDataFrame([(0, 0, 1, True), (0, 0, 2, False)], "source_id long, frame_index long, source_index long, noise boolean")
+    shown = lambda **k: {r["source_index"] for r in viewer.point_set(own, public, **k).collect()}
+    assert shown() == {0, 1, 2, 3} and shown(show_noise=False) == {0, 2, 3} and shown(core_only=True) == {1, 2} and shown(show_noise=False, core_only=True) == {2}
+    key = "source_id long, frame_index long, header_ns string, source_frame string"
+    frames = spark.createDataFrame([(0, i, str(i), "lidar") for i in range(3)], key)
+    records = spark.createDataFrame([(0, 0, "0", "lidar", [1.0]), (0, 1, "1", "lidar", [2.0]), (0, 1, "1", "lidar", [3.0]), (0, 2, "9", "lidar", [4.0])], f"{key}, pairs array<double>")
+    got = {r["frame_index"]: (r["pairs"], r["reason"]) for r in viewer.review_pairs(frames, records).collect()}
+    assert got == {0: ([1.0], None), 1: (None, "NO_SINGLE_REVIEW_RECORD"), 2: (None, "NO_SINGLE_REVIEW_RECORD")}
+
+
+@pytest.mark.parametrize("option", ["noise_filter", "rail_method", "extension", "detail"])
+def test_unknown_options_are_refused(option):
+    with pytest.raises(ValueError):
+        Pipeline(Config(**{option: "other"}))

@@ -40,11 +40,13 @@ def validate_pairs(pairs: DataFrame) -> DataFrame:
 
     ends = fine(F.col("s")) & fine(F.col("left.x")) & fine(F.col("left.y")) & fine(F.col("left.z")) & fine(F.col("right.x")) & fine(F.col("right.y")) & fine(F.col("right.z"))
     side = F.hypot(F.col("left.x").cast("double") - F.col("right.x"), F.col("left.y").cast("double") - F.col("right.y"))
-    own = pairs.withColumns({"_fine": ends, "_step": F.col("s") - F.lag("s").over(order()), "_side": side})
-    facts = own.groupBy(*FRAME).agg(F.count("*").alias("n"), F.bool_and("_fine").alias("fine"), F.min("_step").alias("step"), F.min("_side").alias("side"))
+    moved = F.hypot(*(F.col(c).cast("double") - F.lag(c).over(order()) for c in ("cx", "cy")))
+    own = with_centre(pairs).withColumns({"_fine": ends, "_step": F.col("s") - F.lag("s").over(order()), "_side": side, "_moved": moved})
+    facts = own.groupBy(*FRAME).agg(F.count("*").alias("n"), F.bool_and("_fine").alias("fine"), F.min("_step").alias("step"), F.min("_side").alias("side"), F.min("_moved").alias("moved"))
     reason = (
         F.when(F.col("n") < 2, "TOO_FEW_PAIRS").when(~F.col("fine"), "NONFINITE_PAIRS").when(F.col("step") <= 0, "UNORDERED_PAIRS").when(F.col("side") < TOLERANCE, "EQUAL_SIDES")
-    )
+        .when(F.col("moved") < TOLERANCE, "EQUAL_SECTIONS")
+    )
     return facts.select(*FRAME, "n", reason.alias("reason"))
 
 
@@ -56,12 +58,12 @@ def with_centre(pairs: DataFrame) -> DataFrame:
 def segments(pairs: DataFrame) -> DataFrame:
     """FRAME, seg_index, origin, unit tangent and normal, dz, length, s0, s1 of neighbouring pairs.
 
-    The normal points to the left rail.
+    The normal points to the left rail. Neighbours with one centre make no segment; validate_pairs names their frames.
     """
     nxt = {f"n{c}": F.lead(c).over(order()) for c in ("cx", "cy", "cz", "s")}
     own = with_centre(pairs).withColumns({**nxt, "seg_index": (F.row_number().over(order()) - 1).cast("long")}).where("ns IS NOT NULL")
     own = own.withColumns({f"d{a}": F.col(f"nc{a}").cast("double") - F.col(f"c{a}") for a in "xyz"})
-    own = own.withColumn("length", F.expr("sqrt(dx*dx + dy*dy)")).withColumns({"tx": F.expr("dx/length"), "ty": F.expr("dy/length")})
+    own = own.withColumn("length", F.expr("sqrt(dx*dx + dy*dy)")).where(F.col("length") >= TOLERANCE).withColumns({"tx": F.expr("dx/length"), "ty": F.expr("dy/length")})
     side = F.expr("ty * (cast(left.x AS double) - right.x) - tx * (cast(left.y AS double) - right.y)")
     flip = F.when(side < 0, -1.0).otherwise(1.0)
     own = own.withColumns({"nx": F.col("ty") * flip, "ny": -F.col("tx") * flip})
@@ -206,6 +208,13 @@ def world(station: Column, lateral: Column, height: Column) -> Column:
     return F.struct(x.cast("float").alias("x"), y.cast("float").alias("y"), z.cast("float").alias("z"))
 
 
+def local(point: Column) -> tuple[Column, Column, Column]:
+    """(station, lateral, height) of a point on a segment row, the inverse of `world`."""
+    dx, dy = point["x"].cast("double") - F.col("ax"), point["y"].cast("double") - F.col("ay")
+    station = dx * F.col("tx") + dy * F.col("ty")
+    return station, dx * F.col("nx") + dy * F.col("ny"), point["z"].cast("double") - F.col("az") - F.col("dz") * station / F.col("length")
+
+
 def wireframe(segs: DataFrame, bounds: Bounds) -> DataFrame:
     """Twelve edges of each segment's box: FRAME, seg_index, edge, start, finish."""
     corners = [(bounds.left, bounds.bottom), (bounds.right, bounds.bottom), (bounds.right, bounds.top), (bounds.left, bounds.top)]

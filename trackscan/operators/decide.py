@@ -67,10 +67,12 @@ def legacy_filter(stats: DataFrame, min_points: int = 22, max_span: float = 1.0,
     return stats.withColumn("reportable", F.coalesce(keep, F.lit(False)))
 
 
-def frame_flags(frames: DataFrame, stats: DataFrame, decided: DataFrame) -> DataFrame:
+def frame_flags(frames: DataFrame, stats: DataFrame, decided: DataFrame, mode: str = "baseline_v3") -> DataFrame:
     """Per frame: zone counts and the points of each kind of component; null flags where nothing was evaluated.
 
-    frames: FRAME and `evaluated`, whether the frame has an axis; a frame without one stays unknown.
+    frames: FRAME and `evaluated`, whether the frame has an axis; a frame without one stays unknown. Under the
+    alternative filters any reportable point makes a frame a candidate, which is its `model` flag; the other
+    flags are those of the cascade alone.
     """
     n = F.col("n")
     sums = decided.groupBy(*FRAME).agg(
@@ -84,5 +86,5 @@ def frame_flags(frames: DataFrame, stats: DataFrame, decided: DataFrame) -> Data
     own = frames.join(stats.select(*FRAME, "core", "margin", "outside", "unknown"), FRAME, "left").join(sums, FRAME, "left")
     counts = ("core", "margin", "outside", "unknown", "components", "geometry_obstacle", "model_assist", "boundary_warning", "early_points", "reportable_points")
     own = own.fillna(0, list(counts))
-    flags = {"geometry": "geometry_obstacle", "model": "model_assist", "early": "early_points", "boundary": "boundary_warning"}
+    flags = {"geometry": "geometry_obstacle", "model": "model_assist" if mode == "baseline_v3" else "reportable_points", "early": "early_points", "boundary": "boundary_warning"}
     return own.withColumns({k: F.when(F.col("evaluated"), F.col(v) > 0) for k, v in flags.items()})

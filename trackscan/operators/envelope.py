@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trackscan.config import CORE, EXPANDED, FRAME, TOLERANCE, Bounds
 from trackscan.functions.exprs import distance, in_bounds
@@ -57,11 +58,22 @@ def label(points: DataFrame, segs: DataFrame, core: Bounds = CORE, expanded: Bou
     return best.select(*FRAME, "source_index", "x", "y", "z", decided.cast("tinyint").alias("zone"))
 
 
-def zone_stats(labels: DataFrame) -> DataFrame:
+def narrow(labels: DataFrame) -> DataFrame:
+    """labels as they are worth writing: the distance of core and margin points, and the place of core points alone."""
+    near = F.col("zone").isin(1, 2)
+    return labels.select(*FRAME, "source_index", "zone", F.when(near, distance()).alias("distance"), *(F.when(F.col("zone") == 1, F.col(c)).alias(c) for c in "xyz"))
+
+
+def narrow_stats(labels: DataFrame) -> DataFrame:
+    """zone_stats of narrow labels."""
+    return zone_stats(labels, F.col("distance"))
+
+
+def zone_stats(labels: DataFrame, far: Column | None = None) -> DataFrame:
     """Counts by zone and the nearest core and margin points, ties to the lower index (A1, A2)."""
 
     def nearest(zone: int) -> Column:
-        return F.min(F.when(F.col("zone") == zone, F.struct(distance().alias("distance"), F.col("source_index").alias("source_index"))))
+        return F.min(F.when(F.col("zone") == zone, F.struct((distance() if far is None else far).alias("distance"), F.col("source_index").alias("source_index"))))
 
     done = labels.groupBy(*FRAME).agg(
         F.count("*").alias("points"),
@@ -101,6 +113,20 @@ def project(points: DataFrame, segs: DataFrame) -> DataFrame:
     return with_segments(points, segs).withColumn("_near", best).withColumns({"axis_s": F.col("_near.s"), "axis_distance": F.col("_near.distance")}).drop("_near", "segs")
 
 
+def live_clusters(labels: DataFrame, clusters: DataFrame, min_points: int = 5, max_voxels: int = 50_000) -> DataFrame:
+    """Clusters of core and margin returns with their boxes and nearest points, the nearest first.
+
+    Frames over the voxel budget have none. Columns: FRAME, cluster_id, zone, component, n, box, nearest_index, nearest.
+    """
+    own = clusters.where(F.col("voxels") <= max_voxels).select(*FRAME, "zone", "component", "source_index").join(labels.select(*FRAME, "source_index", "x", "y", "z"), [*FRAME, "source_index"])
+    boxes = own.groupBy(*FRAME, "zone", "component").agg(
+        F.count("*").alias("n"), *(f(F.col(a).cast("double")).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))), F.min(F.struct(distance().alias("distance"), "source_index")).alias("near")
+    )
+    rank = F.row_number().over(Window.partitionBy(*FRAME).orderBy("near.distance", "zone", "component")) - 1
+    kept = boxes.where(F.col("n") >= min_points).withColumn("cluster_id", rank.cast("long"))
+    return kept.select(*FRAME, "cluster_id", F.when(F.col("zone") == 1, "CORE").otherwise("MARGIN").alias("zone"), "component", "n", *(f"{m}_{a}" for a in "xyz" for m in ("min", "max")), F.col("near.source_index").alias("nearest_index"), F.col("near.distance").alias("nearest"))
+
+
 def live_envelope(labels: DataFrame, clusters: DataFrame, min_points: int = 5, max_voxels: int = 50_000) -> DataFrame:
     """Status, counts and grouping of evaluated frames.
 

@@ -49,7 +49,8 @@ def object_candidates(points: DataFrame, cfg: Objects = Objects()) -> tuple[Data
     floors = floor_fit(points, cfg)
     chosen = above_floor(points, floors, cfg)
     groups = voxel_groups(chosen, cfg.voxel)
-    own = groups.join(chosen.select(*FRAME, "source_index", "x", "y", "z"), [*FRAME, "source_index"])
+    # frames over the budget have a status and no objects
+    own = groups.where(F.col("voxels") <= cfg.max_voxels).join(chosen.select(*FRAME, "source_index", "x", "y", "z"), [*FRAME, "source_index"])
     d = {a: F.col(a).cast("double") for a in "xyz"}
     boxes = own.groupBy(*FRAME, "component").agg(
         F.count("*").alias("n"), *(f(d[a]).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))), F.min(F.struct(distance().alias("distance"), "source_index")).alias("near")

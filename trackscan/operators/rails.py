@@ -225,7 +225,7 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
     order = Window.partitionBy(*key).orderBy("s")
     apart = second.withColumn("gap", F.col("s") - F.lag("s").over(order)).withColumn("run", F.sum((F.coalesce("gap", F.lit(0.0)) > cfg.max_gap).cast("int")).over(order))
     size = F.count("*").over(Window.partitionBy(*key))
-    runs = fit(apart.withColumn("total", size).where(F.col("total") >= cfg.min_stations), [*key, "run"], (F.collect_list(F.struct("s", *fields)).alias("list"), F.min("s").alias("s0"), F.max("s").alias("s1")))
+    runs = fit(apart.withColumn("total", size).where(F.col("total") >= cfg.min_stations), [*key, "run"], (F.sort_array(F.collect_list(F.struct("s", *fields, "left", "right"))).alias("list"), F.min("s").alias("s0"), F.max("s").alias("s1")))
     span = F.col("s1") - F.col("s0")
     fine = runs.where((F.col("rows") >= cfg.min_stations) & (span >= cfg.min_span) & (F.col("rows") / (span / cfg.station_length + 1.0) >= cfg.min_coverage))
     fine = fine.where((F.abs(F.col("l_slope") - F.col("r_slope")) * span <= cfg.lateral_tolerance) & (F.greatest(*(F.abs(f"{f}_slope") for f in fields)) <= cfg.max_slope))
@@ -246,12 +246,12 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
         fine = fine.where(((value("r", at) - value("l", at)) / tilt).between(cfg.pair_min, cfg.pair_max) & (F.abs(value("rz", at) - value("lz", at)) <= cfg.max_cross_height))
     fine = materialize(fine, "lines")
     ranked = fine.withColumn("place", F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.desc("rows"), "rms", "seed", "run")))
-    best = ranked.where("place = 1").select(*FRAME, F.col("rows").alias("best_rows"), F.col("rms").alias("best_rms"), F.col("s0").alias("start"), F.col("s1").alias("end"), *(F.col(c).alias(f"best_{c}") for c in lines))
+    best = ranked.where("place = 1").select(*FRAME, F.col("rows").alias("best_rows"), F.col("rms").alias("best_rms"), F.col("s0").alias("start"), F.col("s1").alias("end"), F.col("list").alias("best_list"), *(F.col(c).alias(f"best_{c}") for c in lines))
 
     def gone(f: str, at: str) -> Column:
         return F.abs((F.col(f"{f}_at") + F.col(f"{f}_slope") * F.col(at)) - (F.col(f"best_{f}_at") + F.col(f"best_{f}_slope") * F.col(at)))
 
-    rivals = fine.join(best, FRAME).where(F.col("rows") >= F.col("best_rows") * cfg.ambiguity_ratio)
+    rivals = fine.join(best.drop("best_list"), FRAME).where(F.col("rows") >= F.col("best_rows") * cfg.ambiguity_ratio)
     unclear = rivals.groupBy(*FRAME).agg(F.max(F.greatest(*(gone(f, at) for f in ("l", "r") for at in ("start", "end")))).alias("displacement"))
     done = every.join(counted, FRAME, "left").join(best.drop(*(f"best_{c}" for c in lines)), FRAME, "left").join(unclear, FRAME, "left")
     reason = (
@@ -263,4 +263,5 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
     )
     done = done.withColumn("reason", reason)
     good = F.col("reason") == "PAIRED_RAISED_LINEAR_RIDGES"
-    return done.select(*FRAME, F.when(good, "AUTO_HYPOTHESIS").otherwise("UNKNOWN").alias("status"), "reason", F.when(good, F.col("best_rows")).alias("supported_stations"), F.when(good, F.col("best_rms")).alias("rms"), F.when(good, F.col("start")).alias("start_s"), F.when(good, F.col("end")).alias("end_s"))
+    pairs = F.when(good, F.transform("best_list", lambda n: F.struct(n["s"].alias("s"), n["left"].alias("left"), n["right"].alias("right")))).alias("rail_pairs")
+    return done.select(*FRAME, F.when(good, "AUTO_HYPOTHESIS").otherwise("UNKNOWN").alias("status"), "reason", pairs, F.when(good, F.col("best_rows")).alias("supported_stations"), F.when(good, F.col("best_rms")).alias("rms"), F.when(good, F.col("start")).alias("start_s"), F.when(good, F.col("end")).alias("end_s"))

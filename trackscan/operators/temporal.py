@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -58,11 +58,50 @@ def status_of_streak(kind: str, needed: int) -> F.Column:
     )
 
 
-def publish(confirmed: DataFrame) -> DataFrame:
-    """The public decision, status and reason of frames with flags and confirmations."""
-    sure = F.col("geometry") | F.col("model_confirmed") | F.col("early_confirmed")
+# Statuses and reasons of the public result, in their order of precedence.
+def _status(cascade: bool) -> Column:
+    if cascade:
+        return (
+            F.when(F.col("intrusion"), "OBSERVED_CORE_INTRUSION_CANDIDATE").when(F.col("boundary"), "OBSERVED_BOUNDARY_WARNING").when(F.col("core") > 0, "UNKNOWN")
+            .when(F.col("margin") > 0, "OBSERVED_MARGIN_RETURN").otherwise("UNKNOWN")
+        )
+    return (
+        F.when(F.col("intrusion"), "OBSERVED_CORE_INTRUSION_CANDIDATE").when(F.col("model"), "UNCONFIRMED_CORE_INTRUSION_CANDIDATE").when(F.col("core") > 0, "NO_REPORTABLE_INTRUSION_NOISE_IGNORED")
+        .when(F.col("margin") > 0, "OBSERVED_MARGIN_RETURN").otherwise("UNKNOWN")
+    )
+
+
+def _reason(cascade: bool) -> Column:
+    own = F.when(~F.col("evaluated"), F.col("axis_reason"))
+    if cascade:
+        own = (
+            own.when(F.col("intrusion"), "BASELINE_V3_CONFIRMED_INTRUSION_CANDIDATE")
+            .when(F.col("boundary"), "BASELINE_V3_BOUNDARY_WARNING_NOT_OBSTACLE")
+            .when(F.col("early"), "BASELINE_V3_EARLY_CANDIDATE_WAITING_FOR_TEMPORAL_CONFIRMATION")
+            .when(F.col("model"), "BASELINE_V3_MODEL_ASSIST_WAITING_FOR_TEMPORAL_CONFIRMATION")
+            .when(F.col("core") > 0, "BASELINE_V3_WEAK_OR_UNCONFIRMED_CORE_UNKNOWN_NOT_CLEAR")
+        )
+    else:
+        own = (
+            own.when(F.col("intrusion"), "ANY_REPORTABLE_CORE_COMPONENT_IS_INTRUSION_CANDIDATE")
+            .when(F.col("model"), "MODEL_CANDIDATE_WAITING_FOR_TEMPORAL_CONFIRMATION")
+            .when(F.col("core") > 0, "ONLY_SPARSE_CORE_GROUPS")
+        )
+    return own.when(F.col("margin") > 0, "OBSERVED_RETURN_IN_CLEARANCE_MARGIN").otherwise("NO_RETURNS_INTERSECT_REFERENCE_NOT_CLEAR")
+
+
+def publish(confirmed: DataFrame, mode: str = "baseline_v3") -> DataFrame:
+    """The public decision, status and reason of frames with flags and confirmations.
+
+    Under the cascade geometry alarms at once, model and early candidates once confirmed; under the
+    alternative filters a confirmed candidate does.
+    """
+    cascade = mode == "baseline_v3"
+    sure = F.col("geometry") | F.col("model_confirmed") | F.col("early_confirmed") if cascade else F.col("model_confirmed")
     own = confirmed.withColumn("intrusion", F.when(F.col("evaluated"), sure))
-    early_public = F.coalesce(F.col("early_confirmed") & (F.col("reportable_points") == 0), F.lit(False))
+    early_public = F.coalesce(F.col("early_confirmed") & (F.col("reportable_points") == 0), F.lit(False)) if cascade else F.lit(False)
+    own = own.withColumn("early_public", early_public)
+    early_public = F.col("early_public")
     own = own.withColumns(
         {
             "public_points": F.when(early_public, F.col("early_points")).otherwise(F.col("reportable_points")),
@@ -70,21 +109,28 @@ def publish(confirmed: DataFrame) -> DataFrame:
             "noise_points": F.col("core") - F.when(early_public, F.col("early_points")).otherwise(F.col("reportable_points")),
         }
     )
-    status = (
-        F.when(F.col("intrusion"), "OBSERVED_CORE_INTRUSION_CANDIDATE").when(F.col("boundary"), "OBSERVED_BOUNDARY_WARNING").when(F.col("core") > 0, "UNKNOWN")
-        .when(F.col("margin") > 0, "OBSERVED_MARGIN_RETURN").otherwise("UNKNOWN")
-    )
-    reason = (
-        F.when(~F.col("evaluated"), F.col("axis_reason"))
-        .when(F.col("intrusion"), "BASELINE_V3_CONFIRMED_INTRUSION_CANDIDATE")
-        .when(F.col("boundary"), "BASELINE_V3_BOUNDARY_WARNING_NOT_OBSTACLE")
-        .when(F.col("early"), "BASELINE_V3_EARLY_CANDIDATE_WAITING_FOR_TEMPORAL_CONFIRMATION")
-        .when(F.col("model"), "BASELINE_V3_MODEL_ASSIST_WAITING_FOR_TEMPORAL_CONFIRMATION")
-        .when(F.col("core") > 0, "BASELINE_V3_WEAK_OR_UNCONFIRMED_CORE_UNKNOWN_NOT_CLEAR")
-        .when(F.col("margin") > 0, "OBSERVED_RETURN_IN_CLEARANCE_MARGIN")
-        .otherwise("NO_RETURNS_INTERSECT_REFERENCE_NOT_CLEAR")
-    )
-    return own.withColumns({"status": status, "reason": reason, "system_status": F.lit("UNKNOWN"), "safety_decision_permitted": F.lit(False)})
+    return own.withColumns({"status": _status(cascade), "reason": _reason(cascade), "system_status": F.lit("UNKNOWN"), "safety_decision_permitted": F.lit(False)})
+
+
+def public_points(result: DataFrame, members: DataFrame, decided: DataFrame) -> DataFrame:
+    """FRAME, source_index and whether each core point is reportable, early, noise and public.
+
+    members: core points with their component; what isn't reportable is noise, and early points that become
+    public stop being noise. Points meet their component's decision, then their frame's.
+    """
+    flags = decided.select(*FRAME, "component", "reportable", "early")
+    own = members.select(*FRAME, "component", "source_index").join(flags, [*FRAME, "component"]).join(result.select(*FRAME, "early_public"), FRAME)
+    public = F.when(F.col("early_public"), F.col("early")).otherwise(F.col("reportable"))
+    return own.select(*FRAME, "source_index", "reportable", "early", (~F.col("reportable") & ~(F.col("early_public") & F.col("early"))).alias("noise"), public.alias("public"))
+
+
+#: Index lists of the result and the flag of `public_points` that each collects.
+INDEX_SETS = {"reportable_core_source_indices": "reportable", "baseline_v3_early_candidate_source_indices": "early", "ignored_noise_source_indices": "noise", "public_reportable_core_source_indices": "public"}
+
+
+def index_sets(points: DataFrame) -> DataFrame:
+    """FRAME and the sorted indices of each kind of point, each once (A13). A sensor bounds a frame's points."""
+    return points.groupBy(*FRAME).agg(*(F.array_sort(F.collect_set(F.when(F.col(flag), F.col("source_index")))).alias(name) for name, flag in INDEX_SETS.items()))
 
 
 def k_of_last(frames: DataFrame, flag: str, k: int, last: int) -> DataFrame:

@@ -131,11 +131,17 @@ def pair_budget_guard(spark, sf_dir):
     return nodes.select(*FRAME, F.col("most_pairs").cast("long").alias("most_pairs"), (F.col("most_pairs") > 8).alias("exceeded"))
 
 
-@query()
+@query(t.select(t.STRAIGHT, f"SELECT {FK}, CASE WHEN reason = 'PAIRED_RAISED_LINEAR_RIDGES' THEN 'AUTO_HYPOTHESIS' ELSE 'UNKNOWN' END AS status, reason, {', '.join(f"CASE WHEN reason = 'PAIRED_RAISED_LINEAR_RIDGES' THEN {v} END AS {n}" for n, v in (('supported_stations', 'held'), ('rms', 'round(rms, 6) + 0e0'), ('start_s', 'round(first_s, 6) + 0e0'), ('end_s', 'round(last_s, 6) + 0e0')))} FROM rails"))
 def rail_baseline_lines(spark, sf_dir):
     return rails.detect_straight(scene(spark, sf_dir)).select(*FRAME, "status", "reason", "supported_stations", *r6("rms", "start_s", "end_s"))
 
 
+@query(t.select(t.STRAIGHT, f"SELECT {FK}, {s6('s', 'lx', 'ly', 'rx', 'rz')} FROM observed"))
+def rail_baseline_pairs(spark, sf_dir):
+    own = axis.pair_rows(rails.detect_straight(scene(spark, sf_dir)))
+    return own.select(*FRAME, "s", F.col("left.x").alias("lx"), F.col("left.y").alias("ly"), F.col("right.x").alias("rx"), F.col("right.z").alias("rz")).select(*FRAME, *r6("s", "lx", "ly", "rx", "rz"))
+
+
 @query(t.select(t.AXIS, f"SELECT {FK}, seg_index, {s6('ax', 'ay', 'az', 'tx', 'ty', 'nx', 'ny', 'dz', 'length', 's0', 's1')} FROM segs"))
 def axis_segments(spark, sf_dir):
     return _segments(spark, sf_dir).select(*FRAME, "seg_index", *r6("ax", "ay", "az", "tx", "ty", "nx", "ny", "dz", "length", "s0", "s1"))
@@ -172,7 +178,7 @@ def _arc_pairs(spark, sf_dir) -> DataFrame:
 
 ARC_SQL = f"""arc AS (SELECT {FK}, s, CAST(cx - 8e-1 AS FLOAT) AS lx, CAST(cy AS FLOAT) AS ly, CAST(cz AS FLOAT) AS lz, CAST(cx + 8e-1 AS FLOAT) AS rx, CAST(cy AS FLOAT) AS ry, CAST(cz AS FLOAT) AS rz
   FROM ({ARC_ROWS} FROM nation, (SELECT unnest(range(0, 9)) AS i) WHERE i < {ARC_N})), mids AS ({t.centred('arc')})"""
-ARC_THREE = f"""{ARC_SQL}, lasts AS (SELECT *, lag(cx) OVER w AS x2, lag(cy) OVER w AS y2, lag(cx, 2) OVER w AS x1, lag(cy, 2) OVER w AS y1, lag(s) OVER w AS bs, row_number() OVER (PARTITION BY {FK} ORDER BY s DESC) AS back FROM mids WINDOW w AS (PARTITION BY {FK} ORDER BY s)),
+ARC_THREE = f"""{ARC_SQL}, lasts AS (SELECT *, lag(cx) OVER w AS x2, lag(cy) OVER w AS y2, lag(cx, 2) OVER w AS x1, lag(cy, 2) OVER w AS y1, lag(s) OVER w AS bs, lag(lz) OVER w AS blz, lag(rz) OVER w AS brz, row_number() OVER (PARTITION BY {FK} ORDER BY s DESC) AS back FROM mids WINDOW w AS (PARTITION BY {FK} ORDER BY s)),
 dets AS (SELECT *, 2e0*(CAST(x1 AS DOUBLE)*(CAST(y2 AS DOUBLE)-cy) + CAST(x2 AS DOUBLE)*(CAST(cy AS DOUBLE)-y1) + CAST(cx AS DOUBLE)*(CAST(y1 AS DOUBLE)-y2)) AS det,
   CAST(x1 AS DOUBLE)*x1 + CAST(y1 AS DOUBLE)*y1 AS a2, CAST(x2 AS DOUBLE)*x2 + CAST(y2 AS DOUBLE)*y2 AS b2, CAST(cx AS DOUBLE)*cx + CAST(cy AS DOUBLE)*cy AS c2 FROM lasts WHERE back = 1),
 circ AS (SELECT *, CASE WHEN abs(det) > 1e-6 THEN (a2*(CAST(y2 AS DOUBLE)-cy) + b2*(CAST(cy AS DOUBLE)-y1) + c2*(CAST(y1 AS DOUBLE)-y2)) / det END AS ox, CASE WHEN abs(det) > 1e-6 THEN (a2*(CAST(cx AS DOUBLE)-x2) + b2*(CAST(x1 AS DOUBLE)-cx) + c2*(CAST(x2 AS DOUBLE)-x1)) / det END AS oy FROM dets),
@@ -186,6 +192,20 @@ def arc_limited(spark, sf_dir):
     return status.join(added, FRAME).select(*FRAME, "status", F.round("radius", 3).alias("radius"), "horizon", "samples")
 
 
+ARC_SAMPLES = f"""{ARC_THREE}, bent AS (SELECT *, CASE WHEN -(cy - oy) * (CAST(cx AS DOUBLE) - x2) + (cx - ox) * (CAST(cy AS DOUBLE) - y2) >= 0 THEN 1e0 ELSE -1e0 END AS turn, s - bs AS step, least(9e0, room) AS reach FROM rad WHERE ox IS NOT NULL),
+spots AS (SELECT *, least(reach, i * least(step, reach)) AS far FROM (SELECT *, unnest(range(1, CAST(ceil(reach / least(step, reach)) AS BIGINT) + 1)) AS i FROM bent)), turned AS (SELECT *, turn * far / radius AS angle FROM spots)"""
+_TURNED = ", ".join(
+    f"round(CAST(CAST(ox + cos(angle) * ({a}x - ox) - sin(angle) * ({a}y - oy) AS FLOAT) AS DOUBLE), 4) + 0e0 AS {a}x, round(CAST(CAST(oy + sin(angle) * ({a}x - ox) + cos(angle) * ({a}y - oy) AS FLOAT) AS DOUBLE), 4) + 0e0 AS {a}y, round(CAST(CAST({a}z + CAST({a}z - b{a}z AS DOUBLE) * (far / step) AS FLOAT) AS DOUBLE), 4) + 0e0 AS {a}z"
+    for a in "lr"
+)
+
+
+@query(t.select(ARC_SAMPLES, f"SELECT {FK}, round(s + far, 6) AS s, {_TURNED} FROM turned"))
+def arc_samples(spark, sf_dir):
+    added = axis.extend_arc_limited(_arc_pairs(spark, sf_dir), 9.0)[0].where("NOT observed")
+    return added.select(*FRAME, F.round("s", 6).alias("s"), *((F.round(F.col(f"{side}.{a}").cast("double"), 4) + 0.0).alias(f"{side[0]}{a}") for side in ("left", "right") for a in "xyz"))
+
+
 ARC_FIT = f"""{ARC_SQL}, wins AS (SELECT *, CAST(cx AS DOUBLE) AS x, CAST(cy AS DOUBLE) AS y FROM (SELECT *, row_number() OVER (PARTITION BY {FK} ORDER BY s DESC) AS back FROM mids) WHERE back <= 5),
 mean AS (SELECT {FK}, avg(x) AS mx, avg(y) AS my, count(*) AS k, max(s) AS s FROM wins GROUP BY ALL),
 sums AS (SELECT {FK}, any_value(k) AS k, any_value(m.s) AS s, sum((x-mx)*(x-mx)) AS suu, sum((x-mx)*(y-my)) AS suv, sum((y-my)*(y-my)) AS svv, sum((x-mx)*((x-mx)*(x-mx)+(y-my)*(y-my))) AS suq, sum((y-my)*((x-mx)*(x-mx)+(y-my)*(y-my))) AS svq FROM wins JOIN mean m USING ({FK}) GROUP BY ALL),
@@ -200,9 +220,20 @@ def arc_clamped(spark, sf_dir):
     return status.select(*FRAME, "status", F.round("radius", 1).alias("radius"), F.round("horizon", 2).alias("horizon"))
 
 
-@query(t.select(t.AXIS, f"SELECT {FK}, CAST(count(*) AS BIGINT) + 1 AS n, CAST(NULL AS VARCHAR) AS reason FROM segs GROUP BY ALL"))
+# Pairs with a fault by nation: one alone, a coordinate that isn't a number, equal stations, equal sides, equal centres.
+FAULTY = """SELECT CAST(n_nationkey AS BIGINT) AS source_id, CAST(0 AS BIGINT) AS frame_index, CASE WHEN n_nationkey % 7 = 2 AND i = 3 THEN 8e0 ELSE 4e0 + 2e0*i END AS s, CAST(-8e-1 AS FLOAT) AS lx,
+  CAST(CASE WHEN n_nationkey % 7 = 1 AND i = 2 THEN CAST('NaN' AS DOUBLE) WHEN n_nationkey % 7 = 4 AND i = 3 THEN -4e0 ELSE -2e0*i END AS FLOAT) AS ly, CAST(1e-2*i AS FLOAT) AS lz,
+  CAST(CASE WHEN n_nationkey % 7 = 3 AND i = 1 THEN -8e-1 ELSE 8e-1 END AS FLOAT) AS rx, CAST(CASE WHEN n_nationkey % 7 = 4 AND i = 3 THEN -4e0 ELSE -2e0*i END AS FLOAT) AS ry, CAST(1e-2*i AS FLOAT) AS rz, i"""
+FAULTY_KEEP = "i < CASE WHEN n_nationkey % 7 = 5 THEN 1 ELSE 5 END"
+
+
+@query(t.select(f"bad AS ({FAULTY} FROM nation, (SELECT unnest(range(0, 5)) AS i) WHERE {FAULTY_KEEP}), mid AS ({t.centred('bad')}), steps AS (SELECT *, s - lag(s) OVER w AS step, sqrt(pow(CAST(cx AS DOUBLE) - lag(cx) OVER w, 2) + pow(CAST(cy AS DOUBLE) - lag(cy) OVER w, 2)) AS moved FROM mid WINDOW w AS (PARTITION BY {FK} ORDER BY s, i))",
+                f"SELECT {FK}, count(*) AS n, CASE WHEN count(*) < 2 THEN 'TOO_FEW_PAIRS' WHEN bool_or(isnan(ly)) THEN 'NONFINITE_PAIRS' WHEN min(step) <= 0 THEN 'UNORDERED_PAIRS' WHEN min(abs(CAST(lx AS DOUBLE) - rx)) < 1e-6 THEN 'EQUAL_SIDES' WHEN min(moved) < 1e-6 THEN 'EQUAL_SECTIONS' END AS reason FROM steps GROUP BY ALL"))
 def axis_validation(spark, sf_dir):
-    return axis.validate_pairs(axis.extend_tangent(axis.pair_rows(_detected(spark, sf_dir))))
+    own = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "explode(sequence(0, 4)) AS i").where(FAULTY_KEEP)
+    rows = spark.sql(f"{FAULTY} FROM {{own}}", own=own)
+    side = lambda a: F.struct(*(F.col(f"{a}{c}").alias(c) for c in "xyz"))
+    return axis.validate_pairs(rows.select(*FRAME, "s", side("l").alias("left"), side("r").alias("right"), F.lit(True).alias("observed")))
 
 
 @query(t.select(t.LABELS, f"SELECT {FK}, zone, count(*) AS points, CAST(sum(source_index) AS BIGINT) AS indices FROM (SELECT {FK}, source_index, CAST(zone AS INTEGER) AS zone FROM labels) GROUP BY ALL"))
@@ -237,16 +268,42 @@ def select_zone_points(spark, sf_dir):
     return quality.select_zone(_labels(spark, sf_dir), 1).select(*FRAME, "source_index")
 
 
-@query(t.select(t.AXIS, f"SELECT {FK}, 12 * count(*) AS edges, round(sum(4*length + 0e0) , 3) AS along FROM segs GROUP BY ALL"))
+def _place(station: str, lateral: str, height: str, name: str) -> str:
+    """SQL of the three coordinates of a place on a segment."""
+    made = (f"ax + tx * {station} + nx * {lateral}", f"ay + ty * {station} + ny * {lateral}", f"az + dz * {station} / length + {height}")
+    return ", ".join(f"round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 4) + 0e0 AS {name}{a}" for a, v in zip("xyz", made))
+
+
+def _spot(column: str, name: str) -> list[Column]:
+    return [(F.round(F.col(f"{column}.{a}").cast("double"), 4) + 0.0).alias(f"{name}{a}") for a in "xyz"]
+
+
+_EDGES = [(e, i, e, (i + 1) % 4) for e in (0, 1) for i in range(4)] + [(0, i, 1, i) for i in range(4)]
+_CORNERS = "[-14e-1, 14e-1, 14e-1, -14e-1]", "[0e0, 0e0, 37e-1, 37e-1]"
+WIRES = f"{t.AXIS}, edge_ends(edge, e1, c1, e2, c2) AS (VALUES {', '.join(str((n, a, i + 1, b, j + 1)) for n, (a, i, b, j) in enumerate(_EDGES))})"
+
+
+@query(t.select(WIRES, f"SELECT {FK}, seg_index, CAST(edge AS BIGINT) AS edge, {_place('(e1 * length)', f'({_CORNERS[0]})[c1]', f'({_CORNERS[1]})[c1]', 'start_')}, {_place('(e2 * length)', f'({_CORNERS[0]})[c2]', f'({_CORNERS[1]})[c2]', 'end_')} FROM segs, edge_ends"))
 def envelope_wireframe(spark, sf_dir):
-    own = axis.wireframe(_segments(spark, sf_dir), CORE)
-    along = F.when(F.col("edge") >= 8, F.hypot(F.col("finish.x").cast("double") - F.col("start.x"), F.col("finish.y").cast("double") - F.col("start.y"))).otherwise(0.0)
-    return own.groupBy(*FRAME).agg(F.count("*").alias("edges"), F.round(F.sum(along), 3).alias("along"))
+    return axis.wireframe(_segments(spark, sf_dir), CORE).select(*FRAME, "seg_index", "edge", *_spot("start", "start_"), *_spot("finish", "end_"))
+
 
+RINGS = f"{t.AXIS}, sections AS (SELECT unnest(range(0, 21)) AS section), corners(corner, side_m, up) AS (VALUES (0, -19e-1, -5e-1), (1, 19e-1, -5e-1), (2, 19e-1, 42e-1), (3, -19e-1, 42e-1))"
 
-@query(t.select(t.AXIS, f"SELECT {FK}, seg_index, CAST(84 AS BIGINT) AS corners FROM segs"))
+
+@query(t.select(RINGS, f"SELECT {FK}, seg_index, CAST(section AS BIGINT) AS section, CAST(corner AS BIGINT) AS corner, {_place('(length * section / 2e1)', 'side_m', 'up', '')} FROM segs, sections, corners"))
 def envelope_rings(spark, sf_dir):
-    return axis.rings(_segments(spark, sf_dir), EXPANDED).groupBy(*FRAME, "seg_index").agg(F.count("*").alias("corners"))
+    return axis.rings(_segments(spark, sf_dir), EXPANDED).select(*FRAME, "seg_index", "section", "corner", *_spot("point", ""))
+
+
+@query(t.select(f"{t.AXIS}, {t.PLACES}", f"SELECT {FK}, seg_index, count(*) AS points, round(sum(side_m), 3) + 0e0 AS lateral, round(sum(height), 3) + 0e0 AS height FROM places GROUP BY ALL"))
+def segment_local(spark, sf_dir):
+    points = scene(spark, sf_dir).withColumn("at", F.struct("x", "y", "z")).select(*FRAME, "at")
+    segs = _segments(spark, sf_dir).withColumnsRenamed({"source_id": "sid", "frame_index": "fid"})
+    met = points.join(segs, (F.col("source_id") == F.col("sid")) & (F.col("frame_index") == F.col("fid")))
+    station, lateral, height = axis.local(F.col("at"))
+    inside = met.where((station >= -1e-6) & (station <= F.col("length") + 1e-6))
+    return inside.groupBy(*FRAME, "seg_index").agg(F.count("*").alias("points"), (F.round(F.sum(lateral), 3) + 0.0).alias("lateral"), (F.round(F.sum(height), 3) + 0.0).alias("height"))
 
 
 @query(t.select(t.COMPONENTS, f"SELECT {FK}, source_index, component FROM members", True))
@@ -309,24 +366,85 @@ def public_decision_status(spark, sf_dir):
     return _result(spark, sf_dir).select(*FRAME, "core", "margin", "outside", "unknown", "model_streak", "early_streak", "intrusion", "public_points", "noise_points", *r6("public_nearest"), "status", "reason", "system_status")
 
 
-@query(t.select(t.PUBLIC, f"SELECT {FK}, status FROM public", True))
+JSON_FIELDS = {"status": "string", "reason": "string", "core": "bigint", "margin": "bigint", "intrusion": "boolean", "model_streak": "bigint", "public_points": "bigint", "noise_points": "bigint"}
+
+
+@query(t.select(t.PUBLIC, f"SELECT {FK}, {', '.join(JSON_FIELDS)} FROM public", True))
 def json_result_roundtrip(spark, sf_dir):
     documents = pipeline.to_json(_result(spark, sf_dir))
-    return documents.select(*FRAME, F.get_json_object("json", "$.status").alias("status"))
+    return documents.select(*FRAME, *(F.get_json_object("json", f"$.{n}").cast(kind).alias(n) for n, kind in JSON_FIELDS.items()))
+
+
+MODE_FIELDS = ("core", "margin", "model_streak", "intrusion", "public_points", "noise_points", "public_nearest", "status", "reason")
+
+
+def _mode(spark, sf_dir, **options) -> DataFrame:
+    result = pipeline.Pipeline(Config(**options)).run(scene(spark, sf_dir))
+    return result.select(*FRAME, *(r6(c)[0] if c == "public_nearest" else F.col(c) for c in MODE_FIELDS))
+
+
+_MODE_SQL = f"SELECT {FK}, {', '.join(s6(c) if c == 'public_nearest' else c for c in MODE_FIELDS)} FROM public"
 
 
-@query(t.select(t.SHAPES + f", forward AS (SELECT a.source_id, a.frame_index, a.component, count(DISTINCT b.frame_index) AS seen FROM shapes a JOIN shapes b ON a.source_id = b.source_id AND abs(a.frame_index - b.frame_index) = 1 WHERE (a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz) <= 1e0 GROUP BY ALL)",
-                f"SELECT {FK}, component, CAST(1 + coalesce(seen, 0) AS BIGINT) AS confirmations FROM shapes LEFT JOIN forward USING ({FK}, component)", True))
+@query(t.select(f"{AXIS_STATS}, {t.STATS}, {t.SHAPES[len(t.COMPONENTS) + 2:]}, {t.alternative(f'SELECT {FK}, component, a.n, nearest, a.n >= 22 AND span <= 1e0 AND mean_distance <= 12e-1 AS reportable FROM astats a JOIN shapes USING ({FK}, component)', 1)}", _MODE_SQL, True))
+def public_legacy_status(spark, sf_dir):
+    return _mode(spark, sf_dir, noise_filter="legacy")
+
+
+@query(t.select(f"{t.FEATURES}, {t.STATS}, {t.alternative(f'SELECT {FK}, component, n, nearest, {t.FOREST} >= {t.number(t.THRESHOLD)} AS reportable FROM features', 2)}", _MODE_SQL, True))
+def public_assist_status(spark, sf_dir):
+    return _mode(spark, sf_dir, noise_filter="baseline_v3_assist_score")
+
+
+@query(t.select(f"{t.LABELS.replace(t.OBSERVED, t.STRAIGHT, 1)}, {t.STATS}", f"SELECT {FK}, reason = 'PAIRED_RAISED_LINEAR_RIDGES' AS evaluated, core, margin, outside, unknown FROM rails JOIN stats USING ({FK})"))
+def baseline_method_zones(spark, sf_dir):
+    return pipeline.Pipeline(Config(rail_method="baseline")).run(scene(spark, sf_dir)).select(*FRAME, "evaluated", "core", "margin", "outside", "unknown")
+
+
+STAMPED = f"""{t.FLAGS}, stamped AS (SELECT *, CAST(floor(frame_index * 2 / 3e0) AS BIGINT) AS header_ns FROM tri), seen AS (SELECT *, coalesce(lag(header_ns) OVER (PARTITION BY source_id ORDER BY frame_index) = header_ns, FALSE) AS again FROM stamped),
+fresh AS (SELECT * FROM seen WHERE NOT again), {t.confirmed('fresh', 'firsts')}, carried AS (SELECT s.*, f.model_streak, f.early_streak, f.model_confirmed, f.early_confirmed FROM seen s ASOF JOIN firsts f ON s.source_id = f.source_id AND s.frame_index >= f.frame_index)"""
+
+
+@query(t.select(STAMPED, f"SELECT {FK}, header_ns, model_streak, early_streak, CASE WHEN evaluated THEN geometry OR model_confirmed OR early_confirmed END AS intrusion FROM carried", True))
+def repeated_stamps_run(spark, sf_dir):
+    points = scene(spark, sf_dir)
+    stamps = points.select(*FRAME).distinct().withColumn("header_ns", F.floor(F.col("frame_index") * 2 / F.lit(3.0)))
+    return pipeline.Pipeline().run(points, stamps).select(*FRAME, "header_ns", "model_streak", "early_streak", "intrusion")
+
+
+_REPORT = "decision IN ('geometry_obstacle', 'model_assist')"
+INDICES = f"""{t.PUBLIC}, marks AS (SELECT {FK}, source_index, {_REPORT} AS rep, early AS fore, ep FROM members JOIN decided d USING ({FK}, component) JOIN (SELECT {FK}, ep FROM sure) USING ({FK})),
+lists AS (SELECT {FK}, string_agg(source_index, ',' ORDER BY source_index) FILTER (rep) AS reportable, string_agg(source_index, ',' ORDER BY source_index) FILTER (fore) AS early, string_agg(source_index, ',' ORDER BY source_index) FILTER (NOT rep AND NOT (ep AND fore)) AS noise,
+  string_agg(source_index, ',' ORDER BY source_index) FILTER (CASE WHEN ep THEN fore ELSE rep END) AS public FROM marks GROUP BY ALL)"""
+
+
+@query(t.select(INDICES, f"SELECT {FK}, {', '.join(f'coalesce({c}, {chr(39) * 2}) AS {c}' for c in ('reportable', 'early', 'noise', 'public'))} FROM fks LEFT JOIN lists USING ({FK})", True))
+def public_index_sets(spark, sf_dir):
+    result = pipeline.Pipeline(Config(detail="full")).run(scene(spark, sf_dir))
+    return result.select(*FRAME, *(F.array_join(name, ",").alias(flag) for name, flag in temporal.INDEX_SETS.items()))
+
+
+NEIGHBOURS = f"""{AXIS_STATS}, {t.SHAPES[len(t.COMPONENTS) + 2:]}, whole AS MATERIALIZED (SELECT s.*, near_s, mean_distance FROM shapes s JOIN astats USING ({FK}, component)),
+matched AS (SELECT a.source_id, a.frame_index, a.component, count(DISTINCT b.frame_index) AS seen FROM whole a JOIN whole b ON a.source_id = b.source_id AND abs(a.frame_index - b.frame_index) = 1
+  WHERE (abs(a.near_s - b.near_s) <= 2e0 AND abs(a.mean_distance - b.mean_distance) <= 75e-2) OR (a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz) <= 1e0 GROUP BY ALL),
+certain AS (SELECT w.*, CAST(1 + coalesce(seen, 0) AS BIGINT) AS confirmations FROM whole w LEFT JOIN matched USING ({FK}, component))"""
+
+
+def _confirmations(spark, sf_dir) -> DataFrame:
+    own = materialize(_members(spark, sf_dir), "members")
+    stats = decide.axis_stats(envelope.project(own, _segments(spark, sf_dir))).drop("n")
+    return viewer.neighbour_confirmations(decide.shapes(own).join(stats, decide.COMPONENT))
+
+
+@query(t.select(NEIGHBOURS, f"SELECT {FK}, component, confirmations FROM certain", True))
 def neighbor_frame_confirmation(spark, sf_dir):
-    shape = decide.shapes(_members(spark, sf_dir)).withColumns({"near_s": F.lit(None).cast("double"), "mean_distance": F.lit(None).cast("double")})
-    return viewer.neighbour_confirmations(shape).select(*decide.COMPONENT, F.col("confirmations").cast("long").alias("confirmations"))
+    return _confirmations(spark, sf_dir).select(*decide.COMPONENT, F.col("confirmations").cast("long").alias("confirmations"))
 
 
-@query(t.select(AXIS_STATS, f"SELECT {FK}, component, near_s <= 12e0 AS near, CASE WHEN near_s <= 12e0 THEN FALSE ELSE n >= 3 END AS shown FROM astats", True))
+@query(t.select(NEIGHBOURS, f"SELECT {FK}, component, near_s <= 2e1 AS near, CASE WHEN near_s <= 2e1 THEN FALSE ELSE confirmations >= 2 END AS shown FROM certain", True))
 def near_zone_rule(spark, sf_dir):
-    own = decide.axis_stats(envelope.project(_members(spark, sf_dir), _segments(spark, sf_dir)))
-    shown = viewer.near_zone(own.withColumn("confirmations", F.col("n")), moving=True, required=3, near_m=12.0)
-    return shown.select(*decide.COMPONENT, (F.col("near_s") <= 12.0).alias("near"), "shown")
+    shown = viewer.near_zone(_confirmations(spark, sf_dir), moving=True, required=2, near_m=20.0)
+    return shown.select(*decide.COMPONENT, (F.col("near_s") <= 20.0).alias("near"), "shown")
 
 
 FLOOR = f"""{t.T}, fbin AS (SELECT {FK}, CAST(floor(-CAST(y AS DOUBLE) / 1e1) AS BIGINT) AS bin, CAST(z AS DOUBLE) AS z FROM t WHERE -CAST(y AS DOUBLE) >= 0 AND -CAST(y AS DOUBLE) < 6e1 AND abs(CAST(x AS DOUBLE)) <= 18e-1),
@@ -379,33 +497,51 @@ def component_assessment(spark, sf_dir):
     return objects.assess(groups, _labels(spark, sf_dir)).select(*FRAME, "component", "status", "core", "unknown", *r6("inside_ratio"))
 
 
+@query(t.select(OBJECTS, f"""SELECT {FK}, CASE WHEN reason IS NOT NULL THEN reason WHEN coalesce(voxels, 0) > 60 THEN 'VOXEL_BUDGET_EXCEEDED' WHEN coalesce(objects, 0) > 0 THEN 'SUPPLEMENTAL_PROPOSALS_NOT_PERSON_CLASSIFICATION' ELSE 'NO_PROPOSALS_NOT_CLEAR' END AS reason, CASE WHEN coalesce(voxels, 0) > 60 THEN 0 ELSE CAST(coalesce(objects, 0) AS BIGINT) END AS objects
+  FROM ground LEFT JOIN (SELECT {FK}, count(*) AS voxels FROM vox GROUP BY ALL) USING ({FK}) LEFT JOIN (SELECT {FK}, count(*) FILTER (n >= 5 AND greatest(max_x - min_x, max_y - min_y) <= 3e0) AS objects FROM obox GROUP BY ALL) USING ({FK})""", True))
+def object_budget(spark, sf_dir):
+    found, status = objects.object_candidates(scene(spark, sf_dir), Objects(max_voxels=60))
+    held = found.groupBy(*FRAME).agg(F.count("*").alias("objects"))
+    return status.drop("objects").join(held, FRAME, "left").select(*FRAME, "reason", F.coalesce("objects", F.lit(0)).cast("long").alias("objects"))
+
+
+#: Labels written once: the plan is poor where they are worked out again below the recursion.
+LABELS_ONCE = t.LABELS.replace("labels AS (", "labels AS MATERIALIZED (")
 ANCHORS = f"""SELECT source_id, frame_index, 'a' AS event_id, CAST(x AS DOUBLE) + 5e-7 AS ax, CAST(y AS DOUBLE) AS ay, CAST(z AS DOUBLE) AS az FROM {{0}} WHERE source_index = 7000 + frame_index
 UNION ALL SELECT source_id, frame_index, 'b' AS event_id, CAST(x AS DOUBLE) + 5e-3 AS ax, CAST(y AS DOUBLE) AS ay, CAST(z AS DOUBLE) AS az FROM {{0}} WHERE source_index = 40"""
 
 
-@query(t.select(f"{t.LABELS}, anchors AS ({ANCHORS.format('t')}), hits AS (SELECT {FK}, event_id, arg_min(zone, source_index) AS zone, min(source_index) AS source_index FROM anchors JOIN labels USING ({FK}) WHERE abs(CAST(x AS DOUBLE) - ax) <= 1e-6 AND abs(CAST(y AS DOUBLE) - ay) <= 1e-6 AND abs(CAST(z AS DOUBLE) - az) <= 1e-6 GROUP BY ALL)",
+@query(t.select(f"{LABELS_ONCE}, anchors AS ({ANCHORS.format('t')}), hits AS (SELECT {FK}, event_id, arg_min(zone, source_index) AS zone, min(source_index) AS source_index FROM anchors JOIN labels USING ({FK}) WHERE abs(CAST(x AS DOUBLE) - ax) <= 1e-6 AND abs(CAST(y AS DOUBLE) - ay) <= 1e-6 AND abs(CAST(z AS DOUBLE) - az) <= 1e-6 GROUP BY ALL)",
                 f"SELECT {FK}, event_id, h.source_index, CASE WHEN h.source_index IS NULL THEN 'SOURCE_POINT_NOT_FOUND' WHEN zone = 1 THEN 'CORE' WHEN zone = 2 THEN 'MARGIN' WHEN zone = 3 THEN 'OBSERVED_OUTSIDE_GABARIT' ELSE 'UNKNOWN' END AS membership FROM anchors LEFT JOIN hits h USING ({FK}, event_id)"))
 def anchor_membership(spark, sf_dir):
     anchors = spark.sql(ANCHORS.format("{points}"), points=scene(spark, sf_dir))
     return objects.anchor_membership(anchors, _labels(spark, sf_dir))
 
 
-LIVE = f"""{t.LABELS}, {t.STATS}, cand AS (SELECT {FK}, source_index, zone, CAST(floor(CAST(x AS DOUBLE)/25e-2) AS BIGINT) AS vx, CAST(floor(CAST(y AS DOUBLE)/25e-2) AS BIGINT) AS vy, CAST(floor(CAST(z AS DOUBLE)/25e-2) AS BIGINT) AS vz FROM labels WHERE zone IN (1, 2)),
-vox AS MATERIALIZED (SELECT {FK}, zone, vx, vy, vz, min(source_index) AS node, count(*) AS n FROM cand GROUP BY ALL),
-offs AS (SELECT dx, dy, dz FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dz) WHERE dx <> 0 OR dy <> 0 OR dz <> 0),
-moved_v AS (SELECT {FK}, zone, vx + dx AS vx, vy + dy AS vy, vz + dz AS vz, node AS a FROM vox, offs),
-vedges AS MATERIALIZED (SELECT {FK}, a, node AS b FROM moved_v JOIN vox USING ({FK}, zone, vx, vy, vz)),
-{t.reach('vox', 'vedges')}, groups AS (SELECT {FK}, label, sum(n) AS n FROM vox JOIN cc USING ({FK}, node) GROUP BY ALL)"""
+LIVE = f"""{LABELS_ONCE}, {t.STATS}, cand AS (SELECT {FK}, source_index, zone, d, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(floor(CAST(x AS DOUBLE)/25e-2) AS BIGINT) AS vx, CAST(floor(CAST(y AS DOUBLE)/25e-2) AS BIGINT) AS vy, CAST(floor(CAST(z AS DOUBLE)/25e-2) AS BIGINT) AS vz FROM labels WHERE zone IN (1, 2)),
+vox AS MATERIALIZED (SELECT {FK}, zone, vx, vy, vz, min(source_index) AS node, count(*) AS n, min({{'d': d, 'i': source_index}}) AS near, min(x) AS min_x, max(y) AS max_y, max(z) AS max_z FROM cand GROUP BY ALL),
+placed AS (SELECT *, vx - row_number() OVER (PARTITION BY {FK}, zone, vy, vz ORDER BY vx) AS g FROM vox),
+rods AS MATERIALIZED (SELECT {FK}, zone, vy, vz, g, min(vx) AS low, max(vx) AS high, min(node) AS node, sum(n) AS n, min(near) AS near, min(min_x) AS min_x, max(max_y) AS max_y, max(max_z) AS max_z FROM placed GROUP BY ALL),
+vedges AS MATERIALIZED (SELECT a.source_id, a.frame_index, a.node AS a, b.node AS b FROM rods a JOIN rods b USING ({FK}, zone) WHERE a.node <> b.node AND abs(a.vy - b.vy) <= 1 AND abs(a.vz - b.vz) <= 1 AND a.low <= b.high + 1 AND b.low <= a.high + 1),
+{t.reach('rods', 'vedges')}, groups AS (SELECT {FK}, zone, label, CAST(sum(n) AS BIGINT) AS n, min(near) AS near, min(min_x) AS min_x, max(max_y) AS max_y, max(max_z) AS max_z FROM rods JOIN cc USING ({FK}, node) GROUP BY ALL)"""
 
 
-@query(t.select(LIVE, f"""SELECT {FK}, CASE WHEN core > 0 THEN 'OBSERVED_CORE_INTRUSION_CANDIDATE' WHEN margin > 0 THEN 'OBSERVED_MARGIN_RETURN' ELSE 'UNKNOWN' END AS status, core > 0 AS intrusion_candidate_present, core, margin, CAST(coalesce(clusters, 0) AS BIGINT) AS clusters, CAST(coalesce(ungrouped, 0) AS BIGINT) AS ungrouped
-  FROM stats LEFT JOIN (SELECT {FK}, count(*) FILTER (n >= 5) AS clusters, sum(CASE WHEN n < 5 THEN n ELSE 0 END) AS ungrouped FROM groups GROUP BY ALL) USING ({FK})""", True))
+@query(t.select(LIVE, f"""SELECT {FK}, CASE WHEN core > 0 THEN 'OBSERVED_CORE_INTRUSION_CANDIDATE' WHEN margin > 0 THEN 'OBSERVED_MARGIN_RETURN' ELSE 'UNKNOWN' END AS status, core > 0 AS intrusion_candidate_present, core, margin, clusters, ungrouped
+  FROM (SELECT {FK}, CAST(sum(core) AS BIGINT) AS core, CAST(sum(margin) AS BIGINT) AS margin, CAST(sum(clusters) AS BIGINT) AS clusters, CAST(sum(ungrouped) AS BIGINT) AS ungrouped FROM (SELECT {FK}, core, margin, 0 AS clusters, 0 AS ungrouped FROM stats
+    UNION ALL SELECT {FK}, 0, 0, CASE WHEN n >= 5 THEN 1 ELSE 0 END, CASE WHEN n < 5 THEN n ELSE 0 END FROM groups) GROUP BY ALL)""", True))
 def live_envelope(spark, sf_dir):
     labels = materialize(_labels(spark, sf_dir), "labels")
     groups = cluster.voxel_groups(labels.where("zone IN (1, 2)"), 0.25, "zone")
     return envelope.live_envelope(labels, groups).select(*FRAME, "status", "intrusion_candidate_present", "core", "margin", "clusters", "ungrouped")
 
 
+@query(t.select(LIVE, f"SELECT {FK}, CAST(row_number() OVER (PARTITION BY {FK} ORDER BY near, zone, label) - 1 AS BIGINT) AS cluster_id, CASE WHEN zone = 1 THEN 'CORE' ELSE 'MARGIN' END AS zone, n, near.i AS nearest_index, round(near.d, 6) + 0e0 AS nearest, {s6('min_x', 'max_y', 'max_z')} FROM groups WHERE n >= 5", True))
+def live_clusters(spark, sf_dir):
+    labels = materialize(_labels(spark, sf_dir), "labels")
+    groups = cluster.voxel_groups(labels.where("zone IN (1, 2)"), 0.25, "zone")
+    return envelope.live_clusters(labels, groups).select(*FRAME, "cluster_id", "zone", "n", "nearest_index", *r6("nearest", "min_x", "max_y", "max_z"))
+
+
 @query(t.select(t.OBSERVED, f"SELECT {FK}, CAST(i AS BIGINT) AS pair_index, s FROM (SELECT *, row_number() OVER (PARTITION BY {FK} ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY {FK}) AS n FROM observed) WHERE i % CAST(ceil(n / 8e0) AS BIGINT) = 0 OR i = n - 1"))
 def axis_label_stride(spark, sf_dir):
     return viewer.label_stride(axis.pair_rows(_detected(spark, sf_dir)))

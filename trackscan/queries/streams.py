@@ -81,9 +81,10 @@ def k_of_last_frames(spark, sf_dir):
     return temporal.k_of_last(_tri(spark, sf_dir), "model", 2, 4).select(*FRAME, "held", "confirmed")
 
 
-@query(f"WITH {TRI} SELECT {FK}, coalesce(early, FALSE) AND coalesce(lag(early) OVER w, FALSE) AND coalesce(lag(early, 2) OVER w, FALSE) AND coalesce(lag(cast(floor(value / 50e0) AS BIGINT) * 0) OVER w = 0, FALSE) AS warned FROM tri WINDOW w AS (PARTITION BY source_id ORDER BY frame_index)")
+@query(f"""WITH {TRI}, named AS (SELECT *, CASE WHEN floor(frame_index / 11e0) % 2 = 0 THEN 'lidar' ELSE 'lidar_raw' END AS source_frame FROM tri)
+SELECT {FK}, coalesce(early, FALSE) AND coalesce(lag(early) OVER w, FALSE) AND coalesce(lag(early, 2) OVER w, FALSE) AND coalesce(lag(source_frame) OVER w = source_frame, FALSE) AND coalesce(lag(source_frame, 2) OVER w = source_frame, FALSE) AS warned FROM named WINDOW w AS (PARTITION BY source_id ORDER BY frame_index)""")
 def early_run_lag(spark, sf_dir):
-    own = _tri(spark, sf_dir).withColumn("source_frame", F.lit("lidar"))
+    own = _tri(spark, sf_dir).withColumn("source_frame", F.when(F.floor(F.col("frame_index") / 11) % 2 == 0, "lidar").otherwise("lidar_raw"))
     return temporal.three_early(own, "early", "source_frame").select(*FRAME, "warned")
 
 
@@ -149,10 +150,11 @@ def event_hits(spark, sf_dir):
 
 
 @query(f"""WITH {HITS}, c AS (SELECT source_id, count(*) AS events, count(*) FILTER (polarity = 'positive' AND hit) AS tp, count(*) FILTER (polarity <> 'positive' AND NOT hit) AS tn, count(*) FILTER (polarity <> 'positive' AND hit) AS fp, count(*) FILTER (polarity = 'positive' AND NOT hit) AS fn FROM hits GROUP BY ALL)
-SELECT *, round(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 6) AS "precision", round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 6) AS recall FROM c""")
+SELECT *, round(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 6) AS "precision", round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 6) AS recall, round(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 6) AS f_score FROM c""")
 def event_confusion(spark, sf_dir):
     own = evaluate.scores(evaluate.event_confusion(_tri(spark, sf_dir), _labels(spark, sf_dir)[1], "model"))
-    return own.drop("f_score").withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+    defined = F.coalesce("f_score", F.when(F.col("fp") + F.col("fn") > 0, 0.0))
+    return own.withColumn("f_score", defined).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f_score")})
 
 
 @query(f"""WITH {LABELS}, seen AS (SELECT * FROM review WHERE working_role = 'positive' AND review_status = 'user_visible' AND start IS NOT NULL)
@@ -168,13 +170,17 @@ def distance_window_catalog(spark, sf_dir):
 
 @query(f"""WITH {HITS}, inside AS (SELECT w.source_id, w.event_id, t.frame_index, value, early, model FROM wins w JOIN tri t ON t.source_id = w.source_id AND t.frame_index BETWEEN w.start AND w."end"),
 runs AS (SELECT *, sum(CASE WHEN coalesce(early, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY source_id, event_id ORDER BY frame_index) AS run FROM inside),
-warned AS (SELECT source_id, event_id, min(frame_index) AS warning_frame FROM (SELECT *, row_number() OVER (PARTITION BY source_id, event_id, run ORDER BY frame_index) AS place FROM runs WHERE early) WHERE place >= 3 GROUP BY ALL),
-firsts AS (SELECT source_id, event_id, min(frame_index) FILTER (early) AS early_frame, min(frame_index) FILTER (model) AS public_frame, arg_min(value, frame_index) FILTER (model) AS m FROM inside GROUP BY ALL)
-SELECT w.source_id, w.event_id, early_frame, warning_frame, public_frame, CASE WHEN public_frame IS NULL THEN 'missed' ELSE 'f' || public_frame || ' / ' || printf('%.3f m', m) END AS metric FROM wins w LEFT JOIN firsts USING (source_id, event_id) LEFT JOIN warned USING (source_id, event_id)""")
+warned AS (SELECT source_id, event_id, min(frame_index) AS warning_frame, arg_min(value, frame_index) AS wm FROM (SELECT *, row_number() OVER (PARTITION BY source_id, event_id, run ORDER BY frame_index) AS place FROM runs WHERE early) WHERE place >= 3 GROUP BY ALL),
+sure AS (SELECT *, sum(CASE WHEN coalesce(model, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY source_id, event_id ORDER BY frame_index) AS srun FROM inside),
+steady AS (SELECT source_id, event_id, min(frame_index) AS stable_frame, arg_min(value, frame_index) AS sm FROM (SELECT *, row_number() OVER (PARTITION BY source_id, event_id, srun ORDER BY frame_index) AS place FROM sure WHERE model) WHERE place >= 2 GROUP BY ALL),
+firsts AS (SELECT source_id, event_id, min(frame_index) FILTER (early) AS early_frame, arg_min(value, frame_index) FILTER (early) AS em, min(frame_index) FILTER (model) AS public_frame, arg_min(value, frame_index) FILTER (model) AS m FROM inside GROUP BY ALL)
+SELECT w.source_id, w.event_id, early_frame, round(em, 3) AS early_m, warning_frame, round(wm, 3) AS warning_m, public_frame AS reportable_frame, public_frame, stable_frame, round(sm, 3) AS stable_m, CASE WHEN public_frame IS NULL THEN 'missed' ELSE 'f' || public_frame || ' / ' || printf('%.3f m', m) END AS metric
+FROM wins w LEFT JOIN firsts USING (source_id, event_id) LEFT JOIN warned USING (source_id, event_id) LEFT JOIN steady USING (source_id, event_id)""")
 def window_detections(spark, sf_dir):
     own = _tri(spark, sf_dir).withColumns({"intrusion": F.col("model"), "nearest_early": F.col("value"), "nearest_reportable": F.col("value")})
     done = evaluate.detections(own, _labels(spark, sf_dir)[1])
-    return done.select("source_id", "event_id", "early_frame", "warning_frame", "public_frame", evaluate.metric_text(F.col("public_frame"), F.col("public_m")).alias("metric"))
+    metres = [F.round(c, 3).alias(c) for c in ("early_m", "warning_m", "stable_m")]
+    return done.select("source_id", "event_id", "early_frame", "warning_frame", "reportable_frame", "public_frame", "stable_frame", *metres, evaluate.metric_text(F.col("public_frame"), F.col("public_m")).alias("metric"))
 
 
 @query(f"WITH {TRI} SELECT {FK}, CASE WHEN frame_index % 10 = 0 THEN 'left_only' WHEN frame_index % 7 = 0 THEN 'differs' END AS side, CASE WHEN frame_index % 10 <> 0 AND frame_index % 7 = 0 THEN 'value' END AS fields FROM tri WHERE frame_index % 10 = 0 OR frame_index % 7 = 0")

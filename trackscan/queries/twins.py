@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from trackscan.config import CORE, EXPANDED, Bounds
 from trackscan.fixtures import scene_sql
-from trackscan.functions.exprs import THRESHOLD, forest_sql, number
-from trackscan.operators.decide import BOUNDARY_RULE, EARLY_RULE
+from trackscan.functions.exprs import FOREST as TREES
+from trackscan.functions.exprs import THRESHOLD, number
 
 FK = "source_id, frame_index"
 
@@ -66,6 +66,44 @@ rails AS (SELECT {FK}, coalesce(pair_stations, 0) AS pair_stations, CASE WHEN co
     WHEN displacement IS NOT NULL THEN 'AMBIGUOUS_LOCAL_CONTINUITY_PATH' ELSE 'PAIRED_RAISED_LOCAL_CONTINUITY_PATH' END AS reason, supported, s.best, span, coverage, chain, displacement
   FROM fks LEFT JOIN facts USING ({FK}) LEFT JOIN spans s USING ({FK}) LEFT JOIN apart USING ({FK}))"""
 RAILS = f"{PAIRS}, {CHAIN}"
+
+
+def _near(lines: str, name: str) -> str:
+    """CTE `name`: of each seed and station the pair nearest to the seed's lines, if near enough."""
+    off = ", ".join(f"abs({c} - ({c}0 + {c}1 * s)) / 1e-1" for c in ("l", "r", "lz", "rz"))
+    return f"""{name}_off AS (SELECT m.source_id, m.frame_index, seed, e.* EXCLUDE (source_id, frame_index), greatest({off}) AS error FROM {lines} m JOIN each_pair e USING ({FK})),
+{name} AS (SELECT {FK}, seed, station, arg_min(k, {{'error': error, 'k': k}}) AS k FROM {name}_off WHERE error <= 1 GROUP BY ALL),
+{name}_rows AS (SELECT n.*, e.* EXCLUDE (source_id, frame_index, station, k) FROM {name} n JOIN each_pair e USING ({FK}, station, k))"""
+
+
+def _lines(keys: str) -> str:
+    return f"{FK}, {keys}, count(*) AS held, " + ", ".join(f"coalesce(regr_slope({c}, s), 0e0) AS {c}1, avg({c}) - coalesce(regr_slope({c}, s), 0e0) * avg(s) AS {c}0" for c in ("l", "r", "lz", "rz"))
+
+
+_FIELDS = ("l", "r", "lz", "rz")
+_VALUE = {(c, at): f"({c}0 + {c}1 * {at})" for c in _FIELDS for at in ("first_s", "last_s")}
+#: The alternative method: lines through two pairs, fitted twice to the pairs near them; needs PAIRS.
+STRAIGHT = f"""{PAIRS}, each_pair AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {FK}, station ORDER BY l, r) AS k FROM pairs),
+facts AS (SELECT {FK}, count(*) AS pair_stations, max(n) AS most_pairs FROM (SELECT {FK}, station, count(*) AS n FROM pairs GROUP BY ALL) GROUP BY ALL),
+duos AS (SELECT a.source_id, a.frame_index, row_number() OVER (PARTITION BY a.source_id, a.frame_index ORDER BY a.station, a.k, b.station, b.k) AS seed, a.s AS sa, {', '.join(f'(b.{c} - a.{c}) / (b.s - a.s) AS {c}1, a.{c} AS {c}a' for c in _FIELDS)}
+  FROM each_pair a JOIN each_pair b USING ({FK}) WHERE (b.station - a.station) * 2e0 >= 1e1),
+tried AS (SELECT {FK}, count(*) AS seeds FROM duos GROUP BY ALL),
+within_budget AS (SELECT {FK} FROM facts LEFT JOIN tried USING ({FK}) WHERE pair_stations >= 6 AND most_pairs <= 8 AND coalesce(seeds, 0) <= 10000),
+lines1 AS (SELECT {FK}, seed, {', '.join(f'{c}1, {c}a - {c}1 * sa AS {c}0' for c in _FIELDS)} FROM duos JOIN within_budget USING ({FK}) WHERE greatest({', '.join(f'abs({c}1)' for c in _FIELDS)}) <= 12e-2),
+{_near('lines1', 'near1')}, lines2 AS (SELECT {_lines('seed')} FROM near1_rows GROUP BY {FK}, seed HAVING count(*) >= 6),
+{_near('lines2', 'near2')}, gaps AS (SELECT *, s - lag(s) OVER (PARTITION BY {FK}, seed ORDER BY s) AS gap, count(*) OVER (PARTITION BY {FK}, seed) AS total FROM near2_rows),
+parted AS (SELECT *, sum(CASE WHEN gap > 6e0 THEN 1 ELSE 0 END) OVER (PARTITION BY {FK}, seed ORDER BY s) AS run FROM gaps WHERE total >= 6),
+lines3 AS (SELECT {_lines('seed, run')}, min(s) AS first_s, max(s) AS last_s FROM parted GROUP BY {FK}, seed, run HAVING count(*) >= 6),
+residuals AS (SELECT {FK}, seed, run, max(greatest({', '.join(f'abs({c} - ({c}0 + {c}1 * s))' for c in _FIELDS)})) AS worst, sqrt(sum({' + '.join(f'({c} - ({c}0 + {c}1 * s)) * ({c} - ({c}0 + {c}1 * s))' for c in _FIELDS)}) / (count(*) * 4)) AS rms FROM parted JOIN lines3 USING ({FK}, seed, run) GROUP BY ALL),
+sound AS MATERIALIZED (SELECT *, last_s - first_s AS span, sqrt(1e0 + (l1 + r1) * (l1 + r1) / 4e0) AS tilt FROM lines3 JOIN residuals USING ({FK}, seed, run)
+  WHERE last_s - first_s >= 1e1 AND held / ((last_s - first_s) / 2e0 + 1e0) >= 65e-2 AND abs(l1 - r1) * (last_s - first_s) <= 1e-1 AND greatest({', '.join(f'abs({c}1)' for c in _FIELDS)}) <= 12e-2 AND worst <= 1e-1 AND rms <= 55e-3),
+usable AS (SELECT * FROM sound WHERE {' AND '.join(f'({_VALUE["r", at]} - {_VALUE["l", at]}) / tilt BETWEEN 14e-1 AND 18e-1 AND abs({_VALUE["rz", at]} - {_VALUE["lz", at]}) <= 25e-2' for at in ('first_s', 'last_s'))}),
+top_line AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {FK} ORDER BY held DESC, rms, seed, run) AS place FROM usable) WHERE place = 1),
+far_lines AS (SELECT u.source_id, u.frame_index, max(greatest({', '.join(f'abs((u.{c}0 + u.{c}1 * b.{at}) - (b.{c}0 + b.{c}1 * b.{at}))' for c in ('l', 'r') for at in ('first_s', 'last_s'))})) AS displacement FROM usable u JOIN top_line b USING ({FK}) WHERE u.held >= b.held * 85e-2 GROUP BY ALL),
+rails AS (SELECT {FK}, CASE WHEN coalesce(pair_stations, 0) < 6 THEN 'INSUFFICIENT_PAIRED_RAIL_SUPPORT' WHEN most_pairs > 8 OR coalesce(seeds, 0) > 10000 THEN 'SEARCH_BUDGET_EXCEEDED'
+    WHEN held IS NULL THEN 'NO_STRAIGHT_CONSISTENT_PAIR' WHEN displacement > 7e-1 THEN 'AMBIGUOUS_RAIL_PAIRS' ELSE 'PAIRED_RAISED_LINEAR_RIDGES' END AS reason, held, rms, first_s, last_s, seed, run
+  FROM fks LEFT JOIN facts USING ({FK}) LEFT JOIN tried USING ({FK}) LEFT JOIN top_line USING ({FK}) LEFT JOIN far_lines USING ({FK})),
+observed AS MATERIALIZED (SELECT {FK}, p.s, p.lx, p.ly, p.lzz AS lz, p.rx, p.ry, p.rzz AS rz FROM rails r JOIN parted p USING ({FK}, seed, run) WHERE reason = 'PAIRED_RAISED_LINEAR_RIDGES')"""
 OBSERVED = f"""{RAILS}, observed AS (SELECT {FK}, c.s AS s, c.lx, c.ly, c.lzz AS lz, c.rx, c.ry, c.rzz AS rz FROM (SELECT {FK}, unnest(chain) AS c FROM rails WHERE reason = 'PAIRED_RAISED_LOCAL_CONTINUITY_PATH'))"""
 
 
@@ -122,8 +160,22 @@ members AS (SELECT {FK}, node AS source_index, label AS component, x, y, z, d FR
 SHAPES = f"""{COMPONENTS}, boxes AS (SELECT {FK}, component, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, min(d) AS nearest FROM members GROUP BY ALL),
 shapes AS (SELECT *, max_x - min_x AS ex, max_y - min_y AS ey, max_z - min_z AS ez FROM boxes)"""
 FEATURES = f"""{SHAPES}, features AS (SELECT *, CAST(n AS DOUBLE) AS f0, ex AS f1, ey AS f2, ez AS f3, greatest(ex * ey * ez, 1e-6) AS f4, n / greatest(ex * ey * ez, 1e-6) AS f5, sqrt(cx*cx + cy*cy + cz*cz) AS f6, nearest AS f7 FROM shapes)"""
-FOREST = forest_sql([f"f{i}" for i in range(8)])
-DECIDED = f"""{FEATURES}, ruled AS (SELECT *, {BOUNDARY_RULE} AS boundary, NOT ({BOUNDARY_RULE}) AND {EARLY_RULE} AS early FROM features),
+
+
+def leaves(tree, path: tuple[str, ...] = ()) -> list[tuple[str, float]]:
+    """(condition, value) of each leaf that isn't zero."""
+    if not isinstance(tree, tuple):
+        return [(" AND ".join(path) or "TRUE", tree)] if tree else []
+    feature, threshold, low, high = tree
+    return leaves(low, (*path, f"f{feature} <= {number(threshold)}")) + leaves(high, (*path, f"f{feature} > {number(threshold)}"))
+
+
+#: The forest as a sum over leaves, of which one holds in each tree.
+FOREST = "((" + " + ".join("coalesce(CASE " + " ".join(f"WHEN {c} THEN {number(v)}" for c, v in leaves(t)) + " END, 0e0)" for t in TREES) + f") / {number(len(TREES))})"
+BOUNDARY = "(n >= 250 AND ((cx < -13e-1 AND ex < 25e-2 AND ez > 15e-1) OR (least(ex, ey, cz) > 1e0 AND ez > 3e-1)))"
+EARLY = """(n > 79 AND nearest > 7e0 AND nearest <= 8e1 AND ey <= 8e-1 AND abs(min_x + max_x) <= 28e-1
+  AND ((least(ex, ez) >= 11e-1 AND greatest(ex, ez) <= 26e-1) OR (least(ex, ez) >= 2e-1 AND greatest(ex, ez) <= 65e-2)))"""
+DECIDED = f"""{FEATURES}, ruled AS (SELECT *, {BOUNDARY} AS boundary, {EARLY} AND NOT {BOUNDARY} AS early FROM features),
 scored AS (SELECT *, CASE WHEN NOT boundary AND n < 1000 THEN {FOREST} END AS score FROM ruled),
 decided AS (SELECT *, CASE WHEN boundary THEN 'boundary_warning' WHEN n >= 1000 THEN 'geometry_obstacle' WHEN score >= {number(THRESHOLD)} THEN 'model_assist' ELSE 'noise' END AS decision FROM scored)"""
 FLAGS = f"""{DECIDED}, {STATS}, sums AS (SELECT {FK}, count(*) AS components, sum(CASE WHEN decision = 'geometry_obstacle' THEN n ELSE 0 END) AS geometry_obstacle, sum(CASE WHEN decision = 'model_assist' THEN n ELSE 0 END) AS model_assist,
@@ -152,5 +204,15 @@ public AS (SELECT *, CASE WHEN ep THEN early_points ELSE reportable_points END A
     WHEN model THEN 'BASELINE_V3_MODEL_ASSIST_WAITING_FOR_TEMPORAL_CONFIRMATION' WHEN core > 0 THEN 'BASELINE_V3_WEAK_OR_UNCONFIRMED_CORE_UNKNOWN_NOT_CLEAR' WHEN margin > 0 THEN 'OBSERVED_RETURN_IN_CLEARANCE_MARGIN' ELSE 'NO_RETURNS_INTERSECT_REFERENCE_NOT_CLEAR' END AS reason FROM sure)"""
 
 
+def alternative(reportable: str, needed: int) -> str:
+    """CTE `public` of an alternative filter: `reportable` gives FRAME, component, n, nearest and reportable; STATS must stand before it."""
+    return f"""picked AS ({reportable}), sums AS (SELECT {FK}, count(*) AS components, sum(CASE WHEN reportable THEN n ELSE 0 END) AS reportable_points, min(CASE WHEN reportable THEN nearest END) AS public_nearest FROM picked GROUP BY ALL),
+flags AS (SELECT {FK}, reason = 'PAIRED_RAISED_LOCAL_CONTINUITY_PATH' AS evaluated, reason AS axis_reason, core, margin, CAST(coalesce(reportable_points, 0) AS BIGINT) AS public_points, public_nearest FROM rails JOIN stats USING ({FK}) LEFT JOIN sums USING ({FK})),
+tri AS (SELECT *, CASE WHEN evaluated THEN public_points > 0 END AS model FROM flags), {streak('tri', 'model', 'model_streak', 'runs')},
+sure AS (SELECT *, CASE WHEN evaluated THEN model AND model_streak >= {needed} END AS intrusion FROM runs),
+public AS (SELECT *, core - public_points AS noise_points, CASE WHEN intrusion THEN 'OBSERVED_CORE_INTRUSION_CANDIDATE' WHEN model THEN 'UNCONFIRMED_CORE_INTRUSION_CANDIDATE' WHEN core > 0 THEN 'NO_REPORTABLE_INTRUSION_NOISE_IGNORED' WHEN margin > 0 THEN 'OBSERVED_MARGIN_RETURN' ELSE 'UNKNOWN' END AS status,
+  CASE WHEN NOT evaluated THEN axis_reason WHEN intrusion THEN 'ANY_REPORTABLE_CORE_COMPONENT_IS_INTRUSION_CANDIDATE' WHEN model THEN 'MODEL_CANDIDATE_WAITING_FOR_TEMPORAL_CONFIRMATION' WHEN core > 0 THEN 'ONLY_SPARSE_CORE_GROUPS' WHEN margin > 0 THEN 'OBSERVED_RETURN_IN_CLEARANCE_MARGIN' ELSE 'NO_RETURNS_INTERSECT_REFERENCE_NOT_CLEAR' END AS reason FROM sure)"""
+
+
 def select(ctes: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"

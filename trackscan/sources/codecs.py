@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -139,3 +140,31 @@ def read_framed(stream) -> Iterator[np.ndarray]:
         if not np.isfinite(xyz).all():
             raise ValueError("NONFINITE_XYZ")
         yield xyz
+
+
+def framed_points(files: DataFrame) -> DataFrame:
+    """path, frame_index, source_index, x, y, z and reason of framed binary files, batch or stream.
+
+    files: `path` and `content`, as the binaryFile source reads them, also from readStream. What follows a
+    frame that can't be read is not trusted: it gives one row with the reason.
+    """
+    columns = ["path", "frame_index", "source_index", "x", "y", "z", "reason"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                frame, reason = 0, None
+                frames = read_framed(io.BytesIO(content or b""))
+                while reason is None:
+                    try:
+                        xyz = next(frames)
+                    except StopIteration:
+                        break
+                    except ValueError as e:
+                        xyz, reason = None, str(e)
+                    n = 1 if xyz is None else len(xyz)
+                    body = [pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.float32()) for _ in "xyz")] if xyz is None else [pa.array(np.arange(n)), *(pa.array(np.ascontiguousarray(xyz[:, i])) for i in range(3))]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([frame] * n, pa.int64()), *body, pa.array([reason] * n, pa.string())], columns)
+                    frame += 1
+
+    return files.select("path", "content").mapInArrow(work, "path string, frame_index bigint, source_index bigint, x float, y float, z float, reason string")
