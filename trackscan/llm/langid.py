@@ -20,12 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackscan.llm import textvec as tv
-from trackscan.llm.common import fold, share, strings
+from trackscan.llm.common import fold, fresh, share, strings
 
 #: Learned documents of each language, about; chosen by a hash of the id, texts taken whole.
 SAMPLE = 1500
-#: Words and n-grams of each order that the model keeps, the most frequent ones.
-KEPT = 60_000
 ORDERS = (5, 4, 3, 2, 1)
 #: How much the evidence of a word counts when only n-grams of an order know it.
 WEIGHT = {5: 0.8, 4: 0.7, 3: 0.5, 2: 0.3, 1: 0.2}
@@ -127,60 +125,79 @@ class Model:
         return [self.languages[i] if c else UNKNOWN for i, c in zip(best.tolist(), counts.tolist())], np.where(counts > 0, score, 0.0)
 
 
-def train(rows: list[tuple[str, str]]) -> Model:
-    """A model of (text, language) rows."""
+def count(rows: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """order (0 for words), key, lang and n: how often each word and n-gram is in the texts of each language."""
     languages = sorted({lang for _, lang in rows})
-    if not languages:
-        return Model([], {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in (0, *ORDERS)})
     number = {lang: i for i, lang in enumerate(languages)}
-    found: dict[int, list] = {n: [] for n in (0, *ORDERS)}
     texts = [t for t, _ in rows]
+    found: list[tuple[int, str, np.ndarray, np.ndarray]] = []
     for a, b in tv.slices(texts):
         own = np.array([number[lang] for _, lang in rows[a:b]])
         start, end, row, rolling, _ = _words(texts[a:b])
-        for order in found:
+        for order in (0, *ORDERS):
             x, y, word = (start, end, np.arange(len(start))) if order == 0 else _grams(start, end, order)
             hashes, lang = rolling.ranges(x, y), own[row[word]]
             for j in np.unique(lang).tolist():
-                keys, n = np.unique(hashes[lang == j], return_counts=True)
-                found[order].append((keys, np.full(len(keys), j), n))
+                found.append((order, languages[j], *np.unique(hashes[lang == j], return_counts=True)))
+    sizes = [len(keys) for _, _, keys, _ in found]
+    return {
+        "order": np.repeat(np.array([order for order, *_ in found], np.int32), sizes),
+        "key": np.concatenate([np.zeros(0, np.uint64), *(keys for _, _, keys, _ in found)]).view(np.int64),
+        "lang": np.repeat(np.array([lang for _, lang, *_ in found], object), sizes),
+        "n": np.concatenate([np.zeros(0, np.int64), *(n for *_, n in found)]),
+    }
+
+
+def build(counts: dict[str, np.ndarray]) -> Model:
+    """A model of counts, which may hold a key of a language several times."""
+    languages = sorted(set(counts["lang"]))
+    if not languages:
+        return Model([], {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in (0, *ORDERS)})
+    number = np.searchsorted(np.array(languages, object), counts["lang"])
+    keys = counts["key"].view(np.uint64)
     tables = {}
-    for order, parts in found.items():
-        keys, lang, n = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
-        unique, at = np.unique(keys, return_inverse=True)
-        counts = np.zeros((len(unique), len(languages)))
-        np.add.at(counts, (at, lang), n)
-        # a word met once tells little more than its n-grams do
-        keep = np.flatnonzero(counts.sum(axis=1) >= 2)
-        if len(keep) > KEPT:
-            keep = np.sort(keep[np.lexsort((unique[keep], -counts[keep].sum(axis=1)))[:KEPT]])
-        share_of = (counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * max(1, len(unique)))
+    for order in (0, *ORDERS):
+        own = counts["order"] == order
+        unique, at = np.unique(keys[own], return_inverse=True)
+        total = np.zeros((len(unique), len(languages)))
+        np.add.at(total, (at, number[own]), counts["n"][own])
+        logs = np.log((total + SMOOTH) / (total.sum(axis=0) + SMOOTH * max(1, len(unique))))
         # relative to the mean over languages: only differences between languages matter
-        logs = np.log(share_of)
-        tables[order] = (unique[keep], (logs - logs.mean(axis=1, keepdims=True))[keep].astype(np.float32))
+        tables[order] = unique, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
     return Model(languages, tables)
 
 
+def train(rows: list[tuple[str, str]]) -> Model:
+    """A model of (text, language) rows."""
+    return build(count(rows))
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", learn: Column | None = None, sample: int = SAMPLE) -> bytes:
-    """A model learned in one task from about `sample` whole documents of each language.
+    """A model learned from about `sample` whole documents of each language; all tasks count, and one gets the counts.
 
-    Rows without a text, language or key are not learned from.
+    Rows without a text, language or key are not learned from; of rows that repeat a chosen key the least is.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), (F.lit(True) if learn is None else learn).alias("w")).where("w AND l IS NOT NULL AND t IS NOT NULL AND k IS NOT NULL").drop("w")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # one row for each language
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     chosen = F.lit(False)
-    for name, n in counts.items():
+    for name, n in sizes.items():
         chosen = chosen | ((F.col("l") == name) & share(F.col("k"), sample / n))
+    picked = rows.where(chosen).groupBy("k").agg(F.min(F.struct("t", "l")).alias("r")).select("r.t", "r.l")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[tuple[str, str]] = []
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own += zip(strings(batch.column(0)), batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([train(own).dump()], pa.binary())], ["model"])
+            found = count(list(zip(strings(batch.column(0)), batch.column(1).to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array(found["order"]), pa.array(found["key"]), pa.array(found["lang"], pa.string()), pa.array(found["n"])], ["order", "key", "lang", "n"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("order", pa.int32()), ("key", pa.int64()), ("lang", pa.string()), ("n", pa.int64())]))
+        made = build({c: table.column(c).to_numpy() for c in table.column_names})
+        yield pa.RecordBatch.from_arrays([pa.array([made.dump()], pa.binary())], ["model"])
 
-    # the sample alone meets in one task; all tasks read the table
-    made = rows.where(chosen if counts else F.lit(False)).select("t", "l").repartition(1)
-    found = made.mapInArrow(work, "model binary").collect()
+    # what the one task gets is bounded by the words and n-grams of the sample
+    every = picked.mapInArrow(counted, "order int, key bigint, lang string, n bigint").groupBy("order", "key", "lang").agg(F.sum("n").alias("n"))
+    found = every.repartition(1).mapInArrow(work, "model binary").collect()
     return bytes(found[0]["model"]) if found else train([]).dump()
 
 
@@ -196,7 +213,7 @@ def _model(data: bytes) -> Model:
 
 def identify(docs: DataFrame, model: bytes, text: str = "text", lang_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
     """docs with the predicted language and its score; columns of those names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEPT and the languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = _model(shared.value)
@@ -210,8 +227,9 @@ def identify(docs: DataFrame, model: bytes, text: str = "text", lang_column: str
                 scores.append(score)
             yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": np.concatenate(scores)})
 
-    made = docs.withColumn("_lang_id", F.pandas_udf(predict, "lang string, score double")(F.col(text)))
-    return made.withColumns({lang_column: F.col("_lang_id.lang"), score_column: F.col("_lang_id.score")}).drop("_lang_id")
+    own = fresh(docs, 1)[0]
+    made = docs.withColumn(own, F.pandas_udf(predict, "lang string, score double")(F.col(text)))
+    return made.withColumns({lang_column: F.col(own)["lang"], score_column: F.col(own)["score"]}).drop(own)
 
 
 def learnable(key: str = "doc_id") -> Column:
@@ -229,5 +247,6 @@ def query(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without those whose language can't be told: no letter, or a score under `least`."""
     model = fit(docs, learn=learnable())
-    done = identify(docs.select("*"), model, lang_column="_lang_pred", score_column="_lang_score")
-    return done.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(docs.columns)
+    lang, score = fresh(docs, 2)
+    done = identify(docs, model, lang_column=lang, score_column=score)
+    return done.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
