@@ -2,14 +2,16 @@
 
 A text is normalised (ASCII lower case, anything but letters and digits to one space) with marks where a
 sentence ends and where a line does; what stands before a line's first letter or digit, such as a comment's
-prefix, goes. Known licence sentences are found between marks; a line end may fall inside them, a paragraph's
-end or punctuation only where the canonical text has it. The identifiers of a text, in order, are matched
-against rules: ordered sequences of identifiers that follow each other when unknown sentences are left out.
-Of rules that begin alike the longest applies, and each sentence counts once. The SQL twin cuts at every
-line end and mark, so it knows only notices that stand on one line without inner punctuation.
-
-Defined results: null and empty texts have no sentences and no licences; a sentence that repeats counts
-each time; the licences of a text are sorted, each once, whatever the order of rows; an empty table gives no rows.
+prefix, goes. A web address ends a sentence, and one of the words that open known sentences begins one where it is
+capitalised, so that titles and copyright lines without a full stop stand apart. Known licence sentences are found
+between marks; a line end may fall inside them, a paragraph's end or punctuation only where the canonical text has
+it. The identifiers of a text, in order, are matched against rules: ordered sequences of identifiers that follow
+each other when unknown sentences are left out. Of rules that begin alike the longest applies, and each sentence
+counts once. The SQL twin instead tries every known sentence at every mark.
+
+Defined results: null and empty texts have no sentences and no licences; very long texts are scanned whole; a
+sentence that repeats counts each time; the licences of a text are sorted, each once, whatever the order of rows;
+equal rows have equal results; other columns aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,8 +58,12 @@ RULES = [
     ("GPL-3.0-only", "j"), ("CC-BY-NC-4.0", "o"), ("CC-BY-4.0", "p"), ("CC-BY-SA-4.0", "q"),
     ("BSD-3-Clause", "rstu"), ("BSD-2-Clause", "rst"), ("MPL-2.0", "v"), ("ISC", "w"), ("Proprietary", "x"),
 ]
-#: A sentence ends at a line end, or at one of . ! ? ; : before white space or the end of the text.
-CUT = r"[\n\r]+|[.!?;:]+(?:[ \t]+|[\n\r]+|$)"
+#: Words that open known sentences and, capitalised, begin one.
+OPENERS = (
+    "Permission is hereby", "Permission to use", "Licensed under", "This work is licensed", "Redistribution and use", "Redistributions of source", "Redistributions in binary",
+    "This program is", "You should have", "You may obtain", "Unless required", "See the License", "The above copyright", "Neither the name", "This Source Code Form", "All rights reserved",
+)
+ADDRESS = r"(?i)https?://[^\s]+"
 #: Every known sentence holds one of these words: a text without them needs no cutting.
 ANCHOR = "(?i)licen|permission|permitted|redistribut|copyright|rights reserved|free software|warrant|gnu general"
 #: The same words where lines may end between them.
@@ -73,9 +79,11 @@ def _by_length() -> list[tuple[str, str]]:
 
 def _marked(text: Column) -> Column:
     """A text normalised, with | where a sentence or paragraph ends and / where another line does."""
-    own = F.concat(F.lit("|"), F.translate(text, UPPER + "|/", LOWER + "  "), F.lit("|"))
+    own = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), ADDRESS, " . ")
+    own = F.regexp_replace(F.translate(own, "|/", "  "), f"( )({'|'.join(OPENERS)})\\b", "|$2")
+    own = F.concat(F.lit("|"), F.translate(own, UPPER, LOWER), F.lit("|"))
     for pattern, mark in (
-        (r"(?>\r\n?|\n)[^a-z0-9\r\n]*+[\r\n][^a-z0-9]*+", "|"), (r"[\r\n]+[^a-z0-9]*+", "/"), (r"[.!?;:]+(?=[ \t|/])", "|"),
+        (r"[\r\n][^a-z0-9|\r\n]*+[\r\n][^a-z0-9]*+", "|"), (r"[\r\n]+[^a-z0-9|]*+", "/"), (r"[.!?;:]+(?=[ \t|/])", "|"),
         ("[^a-z0-9|/]+", " "), (r"[ /]*\|[ /|]*", "|"), (" */ *", "/"),
     ):
         own = F.regexp_replace(own, pattern, mark)
@@ -123,19 +131,37 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, group in SENTENCES.items() for s in group) + "}"
+    variants = []
+    for i, group in SENTENCES.items():
+        for s in group:
+            forms = [s]
+            for words in PARTED:
+                head, last = words.rsplit(" ", 1)
+                forms += [f.replace(words, f"{head}|{last}") for f in forms if words in f]
+            variants += [f"('{i}', '{f}')" for f in forms]
     names = "MAP {" + ", ".join(f"'{seq}': '{name}'" for name, seq in RULES) + "}"
     rules = "(" + "|".join(seq for _, seq in _by_length()) + ")"
+    own = f"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '{ADDRESS}', ' . ', 'g')"
+    own = f"regexp_replace(translate({own}, '|/', '  '), ' ({'|'.join(OPENERS)})\\b', '|\\1', 'g')"
+    own = f"'|' || translate({own}, '{UPPER}', '{LOWER}') || '|'"
+    for pattern, mark in (
+        (r"[\r\n][^a-z0-9|\r\n]*[\r\n][^a-z0-9]*", "|"), (r"[\r\n]+[^a-z0-9|]*", "/"), (r"[.!?;:]+([ \t|/])", r"|\1"),
+        ("[^a-z0-9|/]+", " "), (r"[ /]*\|[ /|]*", "|"), (" */ *", "/"),
+    ):
+        own = f"regexp_replace({own}, '{pattern}', '{mark}', 'g')"
     return f"""
-WITH cut AS (
-  SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '{ANCHOR}')
-    THEN list_transform(regexp_split_to_array(text, '{CUT}'), lambda s: trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')))
-    ELSE [] END AS s
-  FROM documents
-), ids AS (
-  SELECT doc_id, coalesce(array_to_string(list_transform(s, lambda x: coalesce(({known})[x], '')), ''), '') AS identifiers FROM cut
-), named AS (
-  SELECT doc_id, identifiers, list_sort(list_distinct(list_transform(regexp_extract_all(identifiers, '{rules}'), lambda r: ({names})[r]))) AS licenses FROM ids
+WITH known(id, sentence) AS (VALUES {', '.join(variants)}),
+cut AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+marked AS (SELECT r, {own} AS m FROM cut WHERE regexp_matches(coalesce(text, ''), '{MET}')),
+places AS (SELECT r, m, translate(m, '/', ' ') AS flat, unnest(list_filter(range(1, length(m)), lambda i: m[i] IN ('|', '/'))) AS p FROM marked),
+met AS (
+  SELECT r, p, p + length(sentence) AS finish, id FROM places JOIN known ON starts_with(substr(flat, p + 1), sentence) AND m[p + length(sentence) + 1] IN ('|', '/')
+), longest AS (SELECT r, p, max(finish) AS finish, arg_max(id, finish) AS id FROM met GROUP BY r, p),
+kept AS (SELECT * FROM longest a WHERE NOT EXISTS (SELECT 1 FROM longest b WHERE a.r = b.r AND b.p < a.p AND b.finish >= a.finish)),
+ids AS (SELECT r, string_agg(id, '' ORDER BY p) AS identifiers FROM kept GROUP BY r),
+named AS (
+  SELECT doc_id, coalesce(identifiers, '') AS identifiers, list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(identifiers, ''), '{rules}'), lambda r: ({names})[r]))) AS licenses
+  FROM cut LEFT JOIN ids USING (r)
 )
 SELECT doc_id, identifiers, CAST(len(licenses) AS BIGINT) AS n_licenses, coalesce(array_to_string(licenses, ','), '') AS licenses FROM named
 """
