@@ -6,12 +6,15 @@ the number of distinct shingles. Words are runs of anything but white space, in
 fewer words has its whole word sequence as its one shingle, and a text without words an empty sketch.
 
 Defined results: null is empty; two empty sketches are alike with likeness 1, an empty one and another
-with 0; rows are ordered by id, nulls first, rows that share an id by their text, and the next document
-is the next row in that order, the first after the last; a lone row is its own next.
+with 0; very long texts are sketched whole; rows are ordered by id, nulls first, rows that share an id by a hash
+of their text, and the next document is the next row in that order, the first after the last, so that of equal
+rows all but the last are followed by themselves; a lone row is its own next; ids of any type that sorts keep it;
+other columns aren't looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackscan.llm import textvec as tv
+from trackscan.llm.common import materialize, share
 
 WORDS, K = 5, 256
-#: Ranges of ids per shuffle partition, and most ranges in all.
+#: Ranges of documents per shuffle partition, and most ranges in all: a range streams through its task, whatever its size.
 RANGES, MOST_RANGES = 3, 20_000
+#: Documents that cuts between ranges are chosen from, for each range; copies of a row that are made at a time.
+PICKED, COPIES = 50, 1000
 
 
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -138,69 +144,105 @@ def edited(own: str, after: str) -> str:
     return own[: len(own) - half] + after[:half]
 
 
+NEXT = "n_chars bigint, sketch binary, edited string, edited_sketch binary, near_edited double, near_next double"
+
+
+def _compared(keys: pa.Array, texts: list[str], k: int) -> pa.RecordBatch:
+    """Rows that follow each other, compared with the next one each; the last text is only a next one."""
+    changed = [edited(x, y) for x, y in zip(texts, texts[1:])]
+    mine, new = sketches(texts, k), sketches(changed, k)
+    return pa.RecordBatch.from_arrays(
+        [
+            keys,
+            pa.array([len(t) for t in texts[:-1]], pa.int64()),
+            pa.array([x.astype("<u8").tobytes() for x in mine[:-1]], pa.binary()),
+            pa.array(changed, pa.string()),
+            pa.array([x.astype("<u8").tobytes() for x in new], pa.binary()),
+            pa.array([resemblance(x, y, k) for x, y in zip(mine, new)], pa.float64()),
+            pa.array([resemblance(x, y, k) for x, y in zip(mine, mine[1:])], pa.float64()),
+        ],
+        ["k", "n_chars", "sketch", "edited", "edited_sketch", "near_edited", "near_next"],
+    )
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """key, n_chars, sketch, edited text, its sketch, and likeness to both it and the next document.
 
-    Documents are dealt into ranges of ids and sorted there; the first one of each range goes to the
-    range before it as well, so each text moves once and no task sees more than its range.
+    Documents are dealt into ranges of (id, hash of the text) and sorted there; the first one of each range goes
+    to the range before it as well, so each text moves once and no task sees more than its range. Rows equal in
+    both are one there, and all but one of them, followed by themselves, are made apart in many tasks.
     """
-    source = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    low = -(1 << 63)
-    ids = source.select(F.coalesce("k", F.lit(low)).alias("k"))
-    n = max(1, min(MOST_RANGES, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).collect()[0]["c"] or []
-    cuts = sorted(set(cuts))
-
-    def range_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), x.to_numpy(np.int64), "right"))
-
-    ranged = F.pandas_udf(range_of, "int")
-    firsts = {r["r"]: r["k"] for r in ids.select("k", ranged("k").alias("r")).groupBy("r").agg(F.min("k").alias("k")).collect()}
+    spark = docs.sparkSession
+    source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    kind = source.schema["k"].dataType.simpleString()
+    # ids and hashes alone: all that ranges and copies are found from
+    facts = materialize(source.groupBy("k", "h").agg(F.count("*").alias("n")), "sketch-keys")
+    rows = facts.count()
+    n = max(1, min(MOST_RANGES, rows, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    place = F.struct(F.col("k").isNotNull().alias("known"), "k", "h")
+    # about PICKED keys for each range, so at most a million
+    picked = facts.where(share(F.struct("k", "h"), PICKED * n / max(rows, 1))).select(place.alias("p")).collect()
+    ordered = sorted(tuple(r["p"]) for r in picked)
+    cuts = sorted({ordered[i * len(ordered) // n] for i in range(1, n)}) if ordered else []
+
+    def range_of(k: pd.Series, h: pd.Series) -> list[int]:
+        return [bisect.bisect_right(cuts, (x is not None, x, y)) for x, y in zip(_plain(k), h.tolist())]
+
+    ranged = F.pandas_udf(lambda k, h: pd.Series(range_of(k, h), dtype="int32"), "int")
+    # one row for each range
+    firsts = {r["r"]: tuple(r["p"]) for r in facts.select(ranged("k", "h").alias("r"), place.alias("p")).groupBy("r").agg(F.min("p").alias("p")).collect()}
     used = sorted(firsts)
     before = {firsts[r]: used[i - 1] for i, r in enumerate(used)}  # the first range's first closes the last range
 
-    def places(x: pd.Series) -> pd.Series:
-        own = range_of(x).tolist()
-        return pd.Series([[a, before[v]] if v in before else [a] for a, v in zip(own, x.tolist())])
-
-    dealt = source.withColumn("at", F.coalesce("k", F.lit(low))).select("k", "t", "at", F.posexplode(F.pandas_udf(places, "array<int>")("at")).alias("extra", "r"))
-    ready = dealt.repartition("r").sortWithinPartitions("r", "extra", "at", "t").select("r", "extra", "k", "t")
-
-    def out(held: list[tuple[int | None, str]], after: str) -> pa.RecordBatch:
-        """Rows that follow each other; the last one's next is `after`."""
-        texts = [t for _, t in held] + [after]
-        changed = [edited(x, y) for x, y in zip(texts, texts[1:])]
-        mine, new = sketches(texts, k), sketches(changed, k)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([x for x, _ in held], pa.int64()),
-                pa.array([len(t) for t in texts[:-1]], pa.int64()),
-                pa.array([x.astype("<u8").tobytes() for x in mine[:-1]], pa.binary()),
-                pa.array(changed, pa.string()),
-                pa.array([x.astype("<u8").tobytes() for x in new], pa.binary()),
-                pa.array([resemblance(x, y, k) for x, y in zip(mine, new)], pa.float64()),
-                pa.array([resemblance(x, y, k) for x, y in zip(mine, mine[1:])], pa.float64()),
-            ],
-            ["k", "n_chars", "sketch", "edited", "edited_sketch", "near_edited", "near_next"],
-        )
+    def places(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([[a, before[v]] if (v := (x is not None, x, y)) in before else [a] for a, x, y in zip(range_of(k, h), _plain(k), h.tolist())])
+
+    several = facts.where("n > 1").select(F.col("k").alias("k2"), F.col("h").alias("h2"), "n")
+    same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))
+    copies = source.join(several, same, "left_semi").groupBy("k", "h").agg(F.first("t").alias("t"))
+    once = source.join(several, same, "left_anti").unionByName(copies)
+    dealt = once.select("k", "t", "h", F.posexplode(F.pandas_udf(places, "array<int>")("k", "h")).alias("extra", "r"))
+    ready = dealt.repartition("r").sortWithinPartitions("r", "extra", F.asc_nulls_first("k"), "h").select("r", "extra", "k", "t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int | None, str]] = []
+        keys: list[pa.Array] = []
+        texts: list[str] = []
         size = 0
         for batch in batches:
-            for _, extra, key, own in zip(*(c.to_pylist() for c in batch.columns)):
-                # the extra row ends a range; further ones share its id, and nothing waits for them
-                if held and (extra or size > tv.BATCH_CHARS):
-                    yield out(held, own)
-                    held, size = [], 0
-                if not extra:
-                    held.append((key, own))
+            low = 0
+            for i, (extra, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())):
+                # the extra row ends a range
+                if texts and (extra or size > tv.BATCH_CHARS):
+                    keys.append(batch.column(2).slice(low, i - low))
+                    yield _compared(pa.concat_arrays(keys), [*texts, own], k)
+                    keys, texts, size, low = [], [], 0, i
+                if extra:
+                    low = i + 1
+                else:
+                    texts.append(own)
                     size += len(own)
+            keys.append(batch.column(2).slice(low))
 
-    made = ready.mapInArrow(work, "k bigint, n_chars bigint, sketch binary, edited string, edited_sketch binary, near_edited double, near_next double")
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (own, times) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                made = _compared(batch.column(0).slice(i, 1), [own, own], k)
+                for low in range(0, times, 16):
+                    yield made.take(pa.array([0] * min(16, times - low)))
+
+    more = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / COPIES))).alias("part")
+    again = copies.join(several, same).select("k", "h", "t", "n", more)
+    times = F.least(F.lit(COPIES).cast("long"), F.col("n") - 1 - F.col("part") * COPIES).cast("int")
+    spread = again.repartition("k", "h", "part").select("k", "t", times.alias("times"))
+    made = ready.mapInArrow(work, f"k {kind}, {NEXT}").unionByName(spread.mapInArrow(repeats, f"k {kind}, {NEXT}"))
     return made.withColumnRenamed("k", key)
 
 
+def _plain(values: pd.Series) -> list:
+    """Values as Python's own, null as None."""
+    return [None if missing else x for x, missing in zip(values.tolist(), values.isna().tolist())]
+
+
 def _line(sketch: str) -> Column:
     """A sketch as text: base 64 on one line."""
     return F.translate(F.base64(sketch), "\r\n", "")
