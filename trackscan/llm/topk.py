@@ -11,7 +11,7 @@ Defined results: vectors that are null or hold a null or non-finite component, a
 take no part; shorter vectors count as zero beyond their end; ties go to the smaller id; rows that share
 an id are the query's own and never its candidates, and otherwise count each; a query with fewer than k
 candidates gets them all; an empty table gives no rows. Scores that don't fit 64 bits become the nearest
-value that does.
+value that does; other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -198,8 +198,10 @@ def _solve(rows: DataFrame, width: int, k: int) -> DataFrame:
                     order = np.argsort(ids, kind="stable")
                     ready = ids[order], np.concatenate([x for _, x in data])[order]
                 own, q, least = (np.concatenate([x[i] for x in asked]) for i in range(3))
-                row, ids, scores = search(ready[1], ready[0], q, own, least, k)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+                # the keys of `search` have room for so many rows; the k best of each part hold the k best of all
+                for low in range(0, len(ready[0]), 1 << TIE):
+                    row, ids, scores = search(ready[1][low : low + (1 << TIE)], ready[0][low : low + (1 << TIE)], q, own, least, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
             asked.clear()
 
         for batch in batches:
@@ -264,13 +266,16 @@ def top_k(vectors: DataFrame, asks: Column, key: str = "vec_id", vector: str = "
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (centres**2).sum(axis=1) / 2
+        rng = np.random.default_rng()
         for batch in batches:
             x = _matrix(batch.column(1), width).astype(np.float64)
             pivot = (x @ centres.T - half).argmax(axis=1) if len(x) else np.zeros(0, np.int64)
             far = np.sqrt(((x - centres[pivot]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pivot.astype(np.int32)), pa.array(far)], ["id", "v", "pivot", "far"])
+            salt = rng.integers(0, 1 << 30, len(x)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pivot.astype(np.int32)), pa.array(far), pa.array(salt)], ["id", "v", "pivot", "far", "salt"])
 
-    near = materialize(own.mapInArrow(nearest, "id bigint, v array<bigint>, pivot int, far double"), "topk-near")
+    # the salt deals rows of one id to different blocks; once written it stays
+    near = materialize(own.mapInArrow(nearest, "id bigint, v array<bigint>, pivot int, far double, salt int"), "topk-near")
     # one row for each pivot, MOST_PIVOTS at most
     held = {r["pivot"]: (r["n"], r["far"]) for r in near.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     splits = np.ones(len(centres), np.int64)
@@ -280,7 +285,7 @@ def top_k(vectors: DataFrame, asks: Column, key: str = "vec_id", vector: str = "
     first = np.cumsum(splits) - splits
     of = F.create_map(*[F.lit(int(x)) for p in held for x in (p, first[p])])
     by = F.create_map(*[F.lit(int(x)) for p in held for x in (p, splits[p])])
-    block = (F.element_at(of, F.col("pivot")) + F.pmod(F.xxhash64("id"), F.element_at(by, F.col("pivot")))).cast("long")
+    block = (F.element_at(of, F.col("pivot")) + F.pmod(F.col("salt"), F.element_at(by, F.col("pivot")))).cast("long")
     none = F.lit(NONE).cast("long")
     dealt = near.withColumn("block", block)
     data = dealt.select("block", F.lit(0).alias("kind"), "id", "v", none.alias("least"))
