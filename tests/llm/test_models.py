@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from trackscan.llm import langid, toxicity
 
@@ -38,6 +40,66 @@ def test_language_backs_off_to_ngrams():
     assert langid.train([]).score(["x"])[0] == ["und"]
 
 
+WORDS = ["strasse", "weisse", "grosse", "casa", "cosa", "mesa", "river", "stone", "the", "der", "la"]
+
+
+def plain(rows, text):
+    """(language, score) by dictionaries of words and n-grams, one at a time."""
+    tables, totals = {}, {}
+    langs = sorted({lang for _, lang in rows})
+
+    def split(t):
+        return "".join(c.lower() if c.isalpha() else " " for c in t).split()
+
+    def grams(word, n):
+        whole = f" {word} " if n > 1 else word
+        return [whole[i : i + n] for i in range(len(whole) - n + 1)]
+
+    for t, lang in rows:
+        for word in split(t):
+            for n, found in [(0, [word]), *((n, grams(word, n)) for n in langid.ORDERS)]:
+                for x in found:
+                    tables.setdefault(n, {}).setdefault(x, dict.fromkeys(langs, 0))[lang] += 1
+                    totals[n, lang] = totals.get((n, lang), 0) + 1
+
+    def logs(n, x):
+        own = np.array([np.log((tables[n][x][g] + langid.SMOOTH) / (totals.get((n, g), 0) + langid.SMOOTH * len(tables[n]))) for g in langs])
+        return own - own.mean()
+
+    words = split(text)
+    if not words:
+        return "und", 0.0
+    total = np.zeros(len(langs))
+    for word in words:
+        for n, found in [(0, [word]), *((n, grams(word, n)) for n in langid.ORDERS)]:
+            known = [logs(n, x) for x in found if x in tables.get(n, {})]
+            if known:
+                total += np.mean(known, axis=0) * langid.WEIGHT.get(n, 1.0)
+                break
+    total *= min(1.0, langid.EVIDENCE / len(words))
+    return langs[int(total.argmax())], 1 / np.exp(total - total.max()).sum()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(WORDS), max_size=5), st.sampled_from(["de", "en", "it"])), min_size=1, max_size=8), st.lists(st.sampled_from([*WORDS, "weisser", "x", "xyz", "rosa", "stones", "1", "-"]), max_size=30))
+def test_language_equals_a_plain_version(rows, words):
+    rows = [(" ".join(own), lang) for own, lang in rows if own] or [("a", "en")]
+    lang, score = langid.train(rows).score([" ".join(words)])
+    expected = plain(rows, " ".join(words))
+    assert abs(score[0] - expected[1]) < 1e-4 and (lang[0] == expected[0] or abs(score[0] - 1 / 2) < 0.2)
+
+
+def test_language_counts_add_up_over_tasks(spark):
+    rows = [(i, f"{WORDS[i % 11]} {WORDS[i * 7 % 11]}", ["de", "en"][i % 2], 1.0) for i in range(60)] + [(3, "zzz later", "en", 1.0), (3, "a first", "de", 1.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang_id double").repartition(7)
+    one = {k: (t, g) for k, t, g, _ in sorted(rows, key=lambda r: (r[1], r[2]), reverse=True)}
+    found, expected = langid.Model.load(langid.fit(frame)), langid.train(list(one.values()))
+    assert found.languages == expected.languages
+    for n in found.tables:
+        assert (found.tables[n][0] == expected.tables[n][0]).all() and np.allclose(found.tables[n][1], expected.tables[n][1])
+    assert langid.keep_identified(frame).columns == frame.columns and {r["_lang_id"] for r in langid.keep_identified(frame).collect()} == {1.0}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
     found = {r["doc_id"]: r for r in toxicity.query(docs, labels).collect()}
@@ -101,6 +163,10 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.query(none, labels).collect() == []
     assert {r["predicted"] for r in toxicity.query(odd, labels.limit(0)).collect()} == {0}
     assert toxicity.keep_clean(odd, labels.limit(0)).columns == odd.columns
+    clashing = odd.selectExpr("doc_id", "text", "7.0 AS _toxicity", "8 AS _own0", "9 AS toxic")
+    assert {tuple(r)[2:] for r in toxicity.keep_clean(clashing, labels.limit(0)).collect()} == {(7, 8, 9)}
+    hot = spark.createDataFrame([(1, "some words here")] * 300 + [(2, "other words")], "doc_id long, text string")
+    assert toxicity.query(hot, labels).count() == 301
 
 
 @pytest.mark.parametrize("texts", [["", "!!", "a"], ["Idiot idiot IDIOT"]])

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackscan.llm import chat, licenses, sketch, topk
 
@@ -16,7 +17,7 @@ def decoded(text):
 def test_fingerprints(request, name, monkeypatch):
     monkeypatch.setattr(sketch, "RANGES", 5)
     table = request.getfixturevalue(name)
-    source = sorted(((r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    source = [(r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy(F.asc_nulls_first("doc_id"), "h").collect()]
     rows = sketch.query(table).collect()
     assert len(rows) == len(source)
     texts = [t for _, t in source]
@@ -34,11 +35,33 @@ def test_fingerprints(request, name, monkeypatch):
 
 
 def exact(a, b):
+    """Resemblance of the sets of shingles, and the size of both together."""
     sets = []
     for t in (a, b):
         w = t.lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} if w else set())
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0, len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_equal_brute_force(spark, docs, kind):
+    """Hot and null ids over several tasks against sets of shingles: exact where both together fit a sketch."""
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(70).collect()] + ["", "one", "a b c d e f g"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, t) for t in texts[:40]] + [(None, t) for t in texts[20:50]] + [(7, "same words in every row")] * 50 + [(None, "null")] * 40 + [(None, None)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text", "1 AS k", "2 AS h", "3 AS n").repartition(6)
+    source = [(r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy(F.asc_nulls_first("doc_id"), "h").collect()]
+    expected = {}
+    for (key, own), (_, after) in zip(source, source[1:] + source[:1]):
+        changed = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        expected.setdefault((key, len(own), hashlib.sha256(changed.encode()).hexdigest()), []).append((exact(own, changed), exact(own, after)))
+    got = {}
+    for r in sketch.query(table).collect():
+        got.setdefault((r["doc_id"], r["n_chars"], r["edited_sha256"]), []).append((r["near_edited"], r["near_next"]))
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in expected.items()}
+    for k, found in got.items():
+        for near, known in zip(sorted(found), sorted(expected[k])):
+            for x, (y, size) in zip(near, known):
+                assert x == y if size <= sketch.K else abs(x - y) < 0.15
 
 
 def test_sketch_estimates(docs):
@@ -46,7 +69,7 @@ def test_sketch_estimates(docs):
     for a, b in zip(texts, texts[1:]):
         changed = sketch.edited(a, b)
         x, y = sketch.sketches([a, changed])
-        assert abs(sketch.resemblance(x, y) - exact(a, changed)) < 0.15
+        assert abs(sketch.resemblance(x, y) - exact(a, changed)[0]) < 0.15
     words = [f"w{i}" for i in range(20000)]
     whole, first, second = sketch.sketches([" ".join(words), " ".join(words[:12004]), " ".join(words[12000:])])
     assert sketch.merged(first, second).tolist() == whole.tolist()
@@ -85,6 +108,28 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert set(got) == expected and len(got) == len(expected)
 
 
+def test_top_k_of_a_hot_id(spark):
+    """More rows of one id than a key of the search has room for."""
+    frame = spark.range(200_000).selectExpr("CAST(if(id % 4 = 0, id / 4, 7) AS long) AS vec_id", "array(CAST(id % 997 AS float) / 100, CAST(id % 1009 AS float) / 50 - 9) AS embedding", "'x' AS block", "'y' AS v")
+    frame = frame.where("vec_id = 7 OR vec_id % 10 = 0")
+    rows = frame.select("vec_id", "embedding").toPandas()
+    ids, v = rows["vec_id"].to_numpy(), np.floor(256 * np.stack(rows["embedding"]).astype(np.float64)).astype(np.int64)
+    assert (ids == 7).sum() > 1 << topk.TIE
+    wanted = [0, 50, 24950, 49950]
+    expected = set()
+    for q in wanted:
+        score = v @ v[ids == q][0]
+        others = np.flatnonzero(ids != q)
+        best = others[np.lexsort((ids[others], -score[others]))[:5]]
+        expected |= {(q, i + 1, int(ids[j]), int(score[j])) for i, j in enumerate(best)}
+    got = [tuple(r) for r in topk.top_k(frame, F.col("id").isin(wanted)).collect()]
+    assert set(got) == expected and len(got) == 20
+    data = v[ids == 7]
+    row, found, score = topk.search(data[: 1 << topk.TIE], ids[ids == 7][: 1 << topk.TIE], v[:3], np.array([-1, -2, -3]), np.full(3, topk.NONE))
+    for i in range(3):
+        assert sorted(score[row == i].tolist()) == sorted((data[: 1 << topk.TIE] @ v[i]).tolist())[-5:]
+
+
 def test_top_k_small_tables(spark):
     assert topk.query(vectors(spark, [])).collect() == []
     assert topk.query(vectors(spark, [(0, [1.0], 0)])).collect() == []
@@ -156,7 +201,10 @@ def test_license_rules(spark, odd, none):
     ]
     got = {r["doc_id"]: (r["identifiers"], r["licenses"]) for r in licenses.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {1: ("a", "Apache-2.0"), 2: ("fx", "MIT,Proprietary"), 3: ("abc", "Apache-2.0"), 4: ("jo", "CC-BY-NC-4.0,GPL-3.0-only"), 5: ("", "")}
-    assert licenses.query(odd).count() == odd.count() and licenses.query(none).count() == 0
+    more = odd.unionByName(odd.where("doc_id = 7").selectExpr("* EXCEPT (text)", "'Licensed under CC BY 4.0' AS text")).selectExpr("*", "1 AS identifiers", "2 AS licenses")
+    rows = [(r["doc_id"], r["identifiers"], r["n_licenses"], r["licenses"]) for r in licenses.query(more).collect()]
+    assert Counter(rows) == Counter([*((r["doc_id"], "", 0, "") for r in odd.collect()), *[(7, "p", 1, "CC-BY-4.0")] * 2])
+    assert licenses.query(none).count() == 0
 
 
 WRAPPED = {
@@ -231,6 +279,15 @@ copyright notice and this permission notice appear in all copies."""),
 }
 
 
+def twin(rows):
+    """The SQL twin's rows for (doc_id, text)."""
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    return {r[0]: (r[3], r[1]) for r in duckdb.sql(f"SELECT doc_id, identifiers, n_licenses, licenses FROM ({licenses.ORACLE_SQL})").fetchall()}
+
+
 def test_canonical_wrapped_notices(spark):
     cases = [(name, ids, before + text.replace("\n", f"\n{before}")) for name, (ids, text) in WRAPPED.items() for before in ("", "# ", " * ", ";; ")]
     cases += [(name, ids, text.replace("\n", "\r\n")) for name, (ids, text) in WRAPPED.items()]
@@ -238,7 +295,11 @@ def test_canonical_wrapped_notices(spark):
     cases += [("MIT", "y", "# SPDX-License-Identifier: MIT\nx = 1"), ("Apache-2.0", "z", "// SPDX-License-Identifier: Apache-2.0"), ("", "", "SPDX-License-Identifier: MIT OR X"), ("", "", "licensed under the\n\nMIT License")]
     cases += [("Apache-2.0", "a", "Licensed under the Apache License,\nVersion 2.0"), ("GPL-3.0-or-later", "k", WRAPPED["GPL-3.0-or-later"][1].split("\n\n")[0]), ("GPL-2.0-or-later", "l", WRAPPED["GPL-2.0-or-later"][1].split("\n\n")[0])]
     cases += [("Apache-2.0", "abc", WRAPPED["Apache-2.0"][1].split("\n\nUnless")[0])]
-    frame = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(cases)], "doc_id long, text string")
+    # on one line, behind a title and a copyright line without a full stop
+    cases += [(name, ids, f"{title}Copyright (c) 2020 Some One " + " ".join(text.split("Someone\n")[-1].split())) for name, (ids, text) in WRAPPED.items() if name != "Proprietary" for title in ("", f"The {name} License ")]
+    rows = [(i, text) for i, (_, _, text) in enumerate(cases)]
+    assert twin(rows) == {i: (name, ids) for i, (name, ids, _) in enumerate(cases)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["licenses"], r["identifiers"]) for r in licenses.query(frame).collect()}
     assert [got[i] for i in range(len(cases))] == [(name, ids) for name, ids, _ in cases]
     assert {name for name, _, _ in cases} >= {name for name, _ in licenses.RULES}
