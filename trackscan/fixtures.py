@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from trackscan.session import shared_root
 
-POINTS = "source_id bigint, frame_index bigint, source_index bigint, x float, y float, z float"
 #: Boxes of the scene by kind: points along x, s and z; x, s and z as SQL of i, j, m; x from the axis or not.
 BOXES = {
     1: (5, 5, 5, "-1.4e-1 + 7e-2*i", "15e0 + 7e-2*j", "7e-2*m", True),
@@ -69,20 +68,22 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.selectExpr("source_id", "frame_index", "source_index", "CAST(x AS FLOAT) AS x", "CAST(-s AS FLOAT) AS y", "CAST(z + grade*s AS FLOAT) AS z")
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, int], str] = {}
 
 
 def dealt_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scene as points arrive in practice: a table, written once a session, dealt by frame on reading.
+    """The scene as points arrive in practice: a table in buckets by frame, written once a session.
 
-    Reading cuts the closed form off, which would else be worked out anew in every expression above it.
+    Reading it cuts the closed form off, and operators that group or join by frame find it dealt already.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        _written[key] = f"{shared_root(spark)}/scene-{uuid.uuid4().hex}"
-        scene(spark, sf_dir).write.parquet(_written[key])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.read.schema(POINTS).parquet(_written[key]).repartition(n, "source_id", "frame_index")
+    key = (spark.sparkContext.applicationId, sf_dir, n)
+    if key not in _written:
+        name = f"scene_{uuid.uuid4().hex}"
+        made = scene(spark, sf_dir)  # dealt as the buckets are, so each is one file
+        made.write.bucketBy(n, "source_id", "frame_index").format("parquet").option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+        _written[key] = name
+    return spark.table(_written[key])
 
 
 def scene_sql() -> str:

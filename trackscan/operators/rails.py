@@ -20,26 +20,37 @@ from trackscan.session import materialize
 NODE = "struct<idx:int,s:double,l:double,r:double,lz:double,rz:double,left:struct<x:float,y:float,z:float>,right:struct<x:float,y:float,z:float>,score:int,cost:double,prev:int>"
 
 
+#: More than the lateral cells of a station, so that station * CELLS + cell names a cell of a frame.
+CELLS = 1 << 20
+
+
 def station_cells(points: DataFrame, cfg: Rails = Rails()) -> DataFrame:
-    """FRAME, station, cell and pts: the window's points of each lateral cell."""
-    inside = search_window(points, cfg)
-    return inside.groupBy(*FRAME, "station", "cell").agg(F.collect_list(F.struct(F.col("z").cast("double").alias("z"), F.col("x").cast("double").alias("x"), "s", "source_index")).alias("pts"))
+    """FRAME, station, cell and zs: the heights of the window's points of each lateral cell."""
+    return search_window(points, cfg).groupBy(*FRAME, "station", "cell").agg(F.collect_list("z").alias("zs"))
+
+
+def _stations(points: DataFrame, cfg: Rails) -> DataFrame:
+    """FRAME, station, floor (the low quantile of the cells' low quantiles), and cells with the heights in them."""
+    low = F.when(F.size("zs") >= cfg.min_cell_points, lower_quantile(F.col("zs"), cfg.cell_floor_quantile).cast("double"))
+    each = station_cells(points, cfg).withColumn("low", low)
+    return each.groupBy(*FRAME, "station").agg(F.collect_list("low").alias("lows"), F.collect_list(F.struct("cell", "zs")).alias("cells")).withColumn("floor", lower_quantile(F.col("lows"), cfg.floor_quantile)).drop("lows")
 
 
 def station_floors(points: DataFrame, cfg: Rails = Rails()) -> DataFrame:
-    """FRAME, station, floor and cells: the low quantile of the cells' low quantiles."""
-    cells = station_cells(points, cfg)
-    low = F.when(F.size("pts") >= cfg.min_cell_points, lower_quantile(F.transform("pts", lambda p: p["z"]), cfg.cell_floor_quantile))
-    each = cells.withColumn("low", low)
-    return each.groupBy(*FRAME, "station").agg(F.collect_list("low").alias("lows"), F.collect_list(F.struct("cell", "pts")).alias("cells")).withColumn("floor", lower_quantile(F.col("lows"), cfg.floor_quantile)).drop("lows")
+    """FRAME, station, floor."""
+    return _stations(points, cfg).select(*FRAME, "station", "floor")
 
 
 def ridge_heights(points: DataFrame, cfg: Rails = Rails()) -> DataFrame:
-    """FRAME, station, cell, height and pts of cells with enough points in the floor band."""
-    floors = station_floors(points, cfg).where("floor IS NOT NULL").select(*FRAME, "station", "floor", F.explode("cells").alias("c"))
-    band = F.filter("c.pts", lambda p: (p["z"] >= F.col("floor") - cfg.floor_band_below) & (p["z"] <= F.col("floor") + cfg.floor_band_above))
-    kept = floors.select(*FRAME, "station", F.col("c.cell").alias("cell"), band.alias("pts")).where(F.size("pts") >= cfg.min_cell_points)
-    return kept.withColumn("height", lower_quantile(F.transform("pts", lambda p: p["z"]), cfg.head_quantile))
+    """FRAME, station, cell, floor and height of cells with enough points in the floor band.
+
+    The cells of a station are worked on as one array: a filter on rows would have the floor worked out anew for
+    every point.
+    """
+    bands = F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), F.filter(c["zs"], lambda z: (z.cast("double") >= F.col("floor") - cfg.floor_band_below) & (z.cast("double") <= F.col("floor") + cfg.floor_band_above)).alias("zs")))
+    heights = F.transform(bands, lambda b: F.struct(b["cell"].alias("cell"), F.when(F.size(b["zs"]) >= cfg.min_cell_points, lower_quantile(b["zs"], cfg.head_quantile).cast("double")).alias("height")))
+    kept = F.filter(heights, lambda h: h["height"].isNotNull())
+    return _stations(points, cfg).where("floor IS NOT NULL").select(*FRAME, "station", "floor", F.explode(kept).alias("h")).select(*FRAME, "station", "h.cell", "floor", "h.height")
 
 
 def ridge_prominence(points: DataFrame, cfg: Rails = Rails()) -> DataFrame:
@@ -54,12 +65,23 @@ def ridge_prominence(points: DataFrame, cfg: Rails = Rails()) -> DataFrame:
 
 
 def ridge_peaks(points: DataFrame, cfg: Rails = Rails()) -> DataFrame:
-    """FRAME, station, cell, s, x, z, prominence and the observed point that stands for each ridge."""
-    head = F.filter("pts", lambda p: p["z"] >= F.col("height") - cfg.head_band)
-    own = ridge_prominence(points, cfg).withColumns({"head": head, "s": cfg.forward_min + (F.col("station") + 0.5) * cfg.station_length}).drop("pts")
-    own = own.withColumn("x", lower_quantile(F.transform("head", lambda p: p["x"]), 0.5))
+    """FRAME, station, cell, s, x, z, prominence and the observed point that stands for each ridge.
+
+    Ridges are few: they are written, packed by frame, and met by the frame's points, so that the places of all
+    other points are never carried along.
+    """
+    name = F.col("station") * CELLS + F.col("cell")
+    ridges = materialize(ridge_prominence(points, cfg), "ridges")
+    packed = ridges.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(name.alias("name"), "floor", "height", "prominence"))).alias("r"))
+    packed = packed.select(*FRAME, F.transform("r", lambda r: r["name"]).alias("names"), "r")
+    met = search_window(points, cfg).join(packed, FRAME).withColumn("at", F.array_position("names", name)).where("at > 0")
+    own = met.select(*FRAME, "station", "cell", F.col("z").cast("double").alias("z"), F.col("x").cast("double").alias("x"), "s", "source_index", F.element_at("r", F.col("at").cast("int")).alias("r"))
+    z, floor = F.col("z"), F.col("r.floor")
+    head = own.where((z >= floor - cfg.floor_band_below) & (z <= floor + cfg.floor_band_above) & (z >= F.col("r.height") - cfg.head_band))
+    kept = head.groupBy(*FRAME, "station", "cell").agg(F.first("r.height").alias("height"), F.first("r.prominence").alias("prominence"), F.collect_list(F.struct("x", "s", "source_index", "z")).alias("head"))
+    kept = kept.withColumns({"s": cfg.forward_min + (F.col("station") + 0.5) * cfg.station_length, "x": lower_quantile(F.transform("head", lambda p: p["x"]), 0.5)})
     cost = F.transform("head", lambda p: F.struct((F.abs(p["x"] - F.col("x")) + F.abs(p["s"] - F.col("s")) * 0.01).alias("cost"), p["source_index"].alias("source_index"), p["x"].alias("px"), p["s"].alias("ps"), p["z"].alias("pz")))
-    best = own.withColumn("best", F.array_min(cost))
+    best = kept.withColumn("best", F.array_min(cost))
     point = F.struct(F.col("best.px").cast("float").alias("x"), (-F.col("best.ps")).cast("float").alias("y"), F.col("best.pz").cast("float").alias("z"))
     return best.select(*FRAME, "station", "cell", "s", "x", F.col("height").alias("z"), "prominence", F.col("best.source_index").alias("source_index"), point.alias("point"))
 

@@ -54,7 +54,7 @@ def search_window_filter(spark, sf_dir):
 
 @query(t.select(t.BIN, f"SELECT {FK}, station, cell, count(*) AS points FROM bin GROUP BY ALL"))
 def station_cell_binning(spark, sf_dir):
-    return rails.station_cells(scene(spark, sf_dir)).select(*FRAME, "station", "cell", F.size("pts").cast("long").alias("points"))
+    return rails.station_cells(scene(spark, sf_dir)).select(*FRAME, "station", "cell", F.size("zs").cast("long").alias("points"))
 
 
 @query(t.select(t.FLOORS, f"SELECT {FK}, station, {s6('floor')} FROM floors"))
