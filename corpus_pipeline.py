@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage is written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: each stage is written as Parquet and read again as the next one's documents.
+
+Defined results of the stages, all but the last of which return the columns of documents, extra ones of any name
+too: a null or empty text is no toxic one, has no language and goes with the second stage; a null id is kept by
+every stage, learned from by none; rows that repeat an id are scored each, and one stays of those that the third
+stage keeps; ties of copies go to the smallest id; very long texts are read whole; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

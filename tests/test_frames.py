@@ -14,6 +14,7 @@ from trackscan.config import CORE, EXPANDED, Config, Rails, with_margins
 from trackscan.functions.exprs import register
 from trackscan.operators import axis, cluster, decide, envelope, evaluate, perf, quality, temporal, viewer
 from trackscan.plans.pipeline import Pipeline
+from trackscan.session import discard, materialize
 from trackscan.sources import bags, codecs, sinks
 from trackscan.streaming.confirm import run_available
 
@@ -249,3 +250,10 @@ def test_viewer_points_and_reviews(spark):
 def test_unknown_options_are_refused(option):
     with pytest.raises(ValueError):
         Pipeline(Config(**{option: "other"}))
+
+
+def test_written_tables_can_be_discarded(spark):
+    written = materialize(spark.range(5), "gone")
+    assert written.count() == 5 and discard(spark) >= 1 and discard(spark) == 0
+    with pytest.raises(Exception, match="gone"):
+        spark.read.parquet(written.inputFiles()[0])

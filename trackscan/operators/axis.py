@@ -166,6 +166,7 @@ def extend_arc_limited(pairs: DataFrame, horizon: float, max_s: float = 80.0) ->
     """Samples along the circle through the last three centres (X4), and a status per frame."""
     own = _circle_of_three(_tail(pairs, 3))
     room = F.lit(max_s) - F.col("tail")[0]["s"]
+    # Statuses, in their order
     status = (
         F.when(F.lit(horizon) <= TOLERANCE, "ARC_HORIZON_DISABLED").when(room <= TOLERANCE, "AT_FORWARD_LIMIT").when(F.col("n") < 3, "INSUFFICIENT_ARC_SUPPORT")
         .when(F.col("ox").isNull() | (F.col("radius") <= TOLERANCE), "COLLINEAR_ARC_SUPPORT").otherwise("ARC_LIMITED_APPLIED")
@@ -180,6 +181,7 @@ def extend_arc_clamped(pairs: DataFrame, horizon: float, max_s: float = 80.0, mi
     room = F.lit(max_s) - F.col("tail")[0]["s"]
     wanted = F.least(F.lit(horizon), room)
     clamped = F.least(wanted, F.col("radius") * math.radians(max_turn_deg))
+    # Statuses, in their order
     status = (
         F.when(F.lit(horizon) <= TOLERANCE, "ARC_HORIZON_DISABLED").when(room <= TOLERANCE, "AT_FORWARD_LIMIT")
         .when(F.col("ox").isNull() | (F.col("radius") < min_radius) | (clamped <= TOLERANCE), "ARC_CLAMPED_REJECTED")

@@ -186,6 +186,7 @@ def judge(nodes: DataFrame, cfg: Rails = Rails()) -> DataFrame:
     apart = F.filter(F.transform(rivals, lambda n: F.struct(n["idx"].alias("idx"), moved(n).alias("displacement"))), lambda r: r["displacement"] > cfg.pair_min * 0.5)
     enough = (F.col("span") >= cfg.min_span) & (F.col("coverage") >= cfg.min_coverage)
     own = own.withColumn("rival", F.when(enough, F.try_element_at(apart, F.lit(1))))
+    # Reasons, in their order
     reason = (
         F.when(F.col("pair_stations") < cfg.min_stations, "INSUFFICIENT_PAIRED_RAIL_SUPPORT")
         .when(F.col("most_pairs") > cfg.max_pairs_per_station, "SEARCH_BUDGET_EXCEEDED")
@@ -276,6 +277,7 @@ def detect_straight(points: DataFrame, frames: DataFrame | None = None, cfg: Rai
     rivals = fine.join(best.drop("best_list"), FRAME).where(F.col("rows") >= F.col("best_rows") * cfg.ambiguity_ratio)
     unclear = rivals.groupBy(*FRAME).agg(F.max(F.greatest(*(gone(f, at) for f in ("l", "r") for at in ("start", "end")))).alias("displacement"))
     done = every.join(counted, FRAME, "left").join(best.drop(*(f"best_{c}" for c in lines)), FRAME, "left").join(unclear, FRAME, "left")
+    # Reasons, in their order
     reason = (
         F.when(F.coalesce("pair_stations", F.lit(0)) < cfg.min_stations, "INSUFFICIENT_PAIRED_RAIL_SUPPORT")
         .when((F.col("most_pairs") > cfg.max_pairs_per_station) | (F.coalesce("seeds", F.lit(0)) > cfg.max_seed_pairs), "SEARCH_BUDGET_EXCEEDED")

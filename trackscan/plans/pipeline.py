@@ -86,11 +86,15 @@ class Pipeline:
         return result
 
 
+#: Fixed value: the format that readers of the document expect.
+FORMAT = "lidar-curve-envelope-v1"
+
+
 def to_json(result: DataFrame, detail: str = "summary") -> DataFrame:
     """FRAME and the result document as JSON (S10); summary leaves arrays out."""
     heavy = [f.name for f in result.schema.fields if f.dataType.typeName() in ("array", "map")]
     kept = result.drop(*heavy) if detail == "summary" else result
-    return kept.select(*FRAME, F.to_json(F.struct(F.lit("lidar-curve-envelope-v1").alias("format"), *kept.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return kept.select(*FRAME, F.to_json(F.struct(F.lit(FORMAT).alias("format"), *kept.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def manifest(frames: DataFrame) -> DataFrame:

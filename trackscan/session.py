@@ -62,13 +62,27 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders written by `materialize`, by application.
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is cut there.
 
     Unlike a checkpoint the plan below runs once, columns are pruned on reading, and the table
-    outlives any executor.
+    outlives any executor. `discard` removes what was written.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove all folders that `materialize` wrote in this application; results over them must be saved before."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in map(hadoop, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
