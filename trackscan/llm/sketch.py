@@ -31,6 +31,8 @@ WORDS, K = 5, 256
 RANGES, MOST_RANGES = 3, 20_000
 #: Documents that cuts between ranges are chosen from, for each range; copies of a row that are made at a time.
 PICKED, COPIES = 50, 1000
+#: Repeated rows (id and hash of the text) that are broadcast at most.
+FEW = 100_000
 
 
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +199,15 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     def places(k: pd.Series, h: pd.Series) -> pd.Series:
         return pd.Series([[a, before[v]] if (v := (x is not None, x, y)) in before else [a] for a, x, y in zip(range_of(k, h), _plain(k), h.tolist())])
 
-    several = facts.where("n > 1").select(F.col("k").alias("k2"), F.col("h").alias("h2"), "n")
-    same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))
-    copies = source.join(several, same, "left_semi").groupBy("k", "h").agg(F.first("t").alias("t"))
-    once = source.join(several, same, "left_anti").unionByName(copies)
+    several = materialize(facts.where("n > 1").select(F.col("k").alias("k2"), F.col("h").alias("h2"), "n"), "sketch-several")
+    repeated = several.count()
+    once, copies = source, None
+    if repeated:
+        # most tables repeat few rows or none: only beyond the checked number do texts move for this
+        side = F.broadcast(several) if repeated <= FEW else several
+        same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))
+        copies = source.join(side, same, "left_semi").groupBy("k", "h").agg(F.first("t").alias("t"))
+        once = source.join(side, same, "left_anti").unionByName(copies)
     dealt = once.select("k", "t", "h", F.posexplode(F.pandas_udf(places, "array<int>")("k", "h")).alias("extra", "r"))
     ready = dealt.repartition("r").sortWithinPartitions("r", "extra", F.asc_nulls_first("k"), "h").select("r", "extra", "k", "t")
 
@@ -230,11 +237,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
                 for low in range(0, times, 16):
                     yield made.take(pa.array([0] * min(16, times - low)))
 
-    more = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / COPIES))).alias("part")
-    again = copies.join(several, same).select("k", "h", "t", "n", more)
-    times = F.least(F.lit(COPIES).cast("long"), F.col("n") - 1 - F.col("part") * COPIES).cast("int")
-    spread = again.repartition("k", "h", "part").select("k", "t", times.alias("times"))
-    made = ready.mapInArrow(work, f"k {kind}, {NEXT}").unionByName(spread.mapInArrow(repeats, f"k {kind}, {NEXT}"))
+    made = ready.mapInArrow(work, f"k {kind}, {NEXT}")
+    if copies is not None:
+        more = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / COPIES))).alias("part")
+        times = F.least(F.lit(COPIES).cast("long"), F.col("n") - 1 - F.col("part") * COPIES).cast("int")
+        spread = copies.join(side, same).select("k", "h", "t", "n", more).repartition("k", "h", "part").select("k", "t", times.alias("times"))
+        made = made.unionByName(spread.mapInArrow(repeats, f"k {kind}, {NEXT}"))
     return made.withColumnRenamed("k", key)
 
 
