@@ -4,8 +4,9 @@ A batch of texts is cut into pre-tokens by `pretokenize.boundaries`; each distin
 in a bounded cache, and the slices not yet in it are merged together, one vectorised merge step for
 all of them at a time. Byte offsets of the tokens are kept; decoding writes each token's bytes there.
 
-Defined results: a null or empty text has no tokens, empty ids and empty bytes; repeated rows and ties
-don't interact; only the columns asked for are kept, so extra columns never clash.
+Defined results: a null or empty text has no tokens, empty ids and empty bytes; a very long text makes a batch
+of its own and is encoded whole; repeated rows and ties don't interact; only the columns asked for are kept,
+so extra columns never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

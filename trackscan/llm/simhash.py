@@ -11,7 +11,9 @@ so a dense family costs no quadratic number of links; what leaves a task is one
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; rows that
 share a doc_id are one node, with one component; a null doc_id keeps its fingerprint, takes part in
-linking, and gets the smallest doc_id it reaches, null if there is none; an empty table gives no rows.
+linking, and gets the smallest doc_id it reaches, null if there is none; very long texts are hashed whole;
+`near_duplicates` looks at key and text alone and `keep_one` keeps all other columns, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
