@@ -40,6 +40,8 @@ EVEN = 0.25
 #: Penalty of weights in standard errors, and steps; decay of vectors, rounds, rate and texts of a step.
 TAU, STEPS = 2.0, 80
 DECAY, ROUNDS, RATE, BATCH = 0.002, 8, 0.05, 256
+#: Entries of the sample that are added up at a time; code points whose buckets are found at a time.
+PART, SLICE = 1 << 20, 400_000
 #: A text's buckets as it is learned from: little-endian unsigned 32-bit numbers, ascending.
 PACKED = "<u4"
 
@@ -103,7 +105,7 @@ class Machine:
 def packed(texts: list[str]) -> list[bytes]:
     """The buckets of each text."""
     out: list[bytes] = []
-    for a, b in tv.slices(texts):
+    for a, b in tv.slices(texts, SLICE):
         row, bucket = once(*features(texts[a:b]))
         cuts = np.searchsorted(row, np.arange(b - a + 1))
         out += [bucket[x:y].astype(PACKED).tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
@@ -116,17 +118,19 @@ def train(held: list[bytes], toxic: np.ndarray) -> Machine:
     if not len(held) or not toxic.any() or toxic.all():
         return Machine(-30.0 if not toxic.any() else 30.0, none.astype(np.int64), none, np.zeros((0, FACTORS)))
     n = len(held)
-    bucket = np.frombuffer(b"".join(held), PACKED)
     row = np.repeat(np.arange(n, dtype=np.int32), [len(x) // 4 for x in held])
-    met = np.bincount(bucket, minlength=1 << BITS)
-    own = met[bucket] > 1
+    bucket = np.frombuffer(b"".join(held), PACKED)
+    held.clear()  # the texts' own buckets are all in one array now
+    several = np.bincount(bucket, minlength=1 << BITS) > 1
+    own = several[bucket]
     row, bucket = row[own], bucket[own]
-    kept = np.flatnonzero(met > 1)
+    kept = np.flatnonzero(several)
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     term = place[bucket]
     p, q = toxic.mean() ** EVEN, (~toxic).mean() ** EVEN
     share_of = np.where(toxic, p / (p + q) / toxic.sum(), q / (p + q) / (~toxic).sum())
+    del bucket, own
     bias, weights = learn_weights(row, term, len(kept), toxic, share_of)
     vectors = learn_vectors(row, term, len(kept), toxic, share_of, bias + np.bincount(row, weights[term], n))
     return Machine(bias, kept, weights, vectors)
@@ -135,18 +139,22 @@ def train(held: list[bytes], toxic: np.ndarray) -> Machine:
 def learn_weights(row: np.ndarray, term: np.ndarray, k: int, toxic: np.ndarray, share_of: np.ndarray) -> tuple[float, np.ndarray]:
     """Bias and weights: accelerated proximal gradient, each bucket's step from its own curvature bound."""
     n = len(toxic)
-    size = np.bincount(row, minlength=n)
-    penalty = TAU * np.sqrt(np.bincount(term, (0.5 * share_of)[row] ** 2, k))
-    step = 4 / np.maximum(np.bincount(term, (share_of * size)[row], k), 1e-12)
-    order = np.argsort(term, kind="stable")
-    by_term, first = row[order], np.searchsorted(term[order], np.arange(k))
+    parts = [slice(low, low + PART) for low in range(0, len(row), PART)]
+
+    def by_text(values: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(row[p], values[term[p]], n) for p in parts), np.zeros(n))
+
+    def by_bucket(values: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(term[p], values[row[p]], k) for p in parts), np.zeros(k))
+
+    penalty = TAU * np.sqrt(by_bucket((0.5 * share_of) ** 2))
+    step = 4 / np.maximum(by_bucket(share_of * np.bincount(row, minlength=n)), 1e-12)
     weights = ahead = np.zeros(k)
     bias = bias_ahead = 0.0
     pace = 1.0
     for _ in range(STEPS):
-        raw = bias_ahead + np.bincount(row, ahead[term], n)
-        error = share_of * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - toxic)
-        moved = ahead - step * np.add.reduceat(error[by_term], first) if k else ahead
+        error = share_of * (1 / (1 + np.exp(-np.clip(bias_ahead + by_text(ahead), -30, 30))) - toxic)
+        moved = ahead - step * by_bucket(error)
         moved = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
         bias_moved = bias_ahead - 4 * error.sum()
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
@@ -170,18 +178,20 @@ def learn_vectors(row: np.ndarray, term: np.ndarray, k: int, toxic: np.ndarray,
             continue
         starts = np.cumsum(size) - size
         at = np.repeat(cuts[part] - starts, size) + np.arange(int(size.sum()))
-        held = term[at]
-        order = np.argsort(held, kind="stable").astype(np.int32)
-        used, first = np.unique(held[order], return_index=True)
-        groups.append((part, size, starts, held, np.repeat(np.arange(len(part), dtype=np.int32), size), order, used, first))
+        used, held = np.unique(term[at], return_inverse=True)
+        order = np.argsort(held, kind="stable")
+        first = np.searchsorted(held[order], np.arange(len(used)))
+        text = np.repeat(np.arange(len(part), dtype=np.int32), size)[order]  # of each entry, by bucket
+        groups.append((part, size, starts, held.astype(np.int32), text, used, first))
     for _ in range(ROUNDS):
         for i in rng.permutation(len(groups)):
-            part, size, starts, held, r, order, used, first = groups[i]
-            v = vectors[held]
+            part, size, starts, held, text, used, first = groups[i]
+            own = vectors[used]
+            v = own[held]
             total = np.add.reduceat(v, starts)
-            raw = linear[part] + 0.5 * ((total**2).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), starts)) / size
+            raw = linear[part] + 0.5 * ((total**2).sum(axis=1) - np.add.reduceat((own * own).sum(axis=1)[held], starts)) / size
             error = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - toxic[part]) * share_of[part] * (n / len(part)) / size).astype(np.float32)
-            grad = np.add.reduceat((error[r, None] * (total[r] - v))[order], first) + DECAY * vectors[used]
+            grad = np.add.reduceat((error[:, None] * total)[text], first) - own * np.add.reduceat(error[text], first)[:, None] + DECAY * own
             slots[used] += grad * grad
             vectors[used] -= RATE * grad / np.sqrt(slots[used])
     return vectors
@@ -208,7 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((held, toxic) for batch in batches for held, toxic in zip(*(c.to_pylist() for c in batch.columns)))  # the same machine from any order
-        yield pa.RecordBatch.from_arrays([pa.array([train([held for held, _ in rows], np.array([toxic for _, toxic in rows], bool)).dump()], pa.binary())], ["model"])
+        held, toxic = [held for held, _ in rows], np.array([toxic for _, toxic in rows], bool)
+        rows.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([train(held, toxic).dump()], pa.binary())], ["model"])
 
     found = rows.mapInArrow(pack, "held binary, toxic boolean").repartition(1).mapInArrow(work, "model binary").collect()
     return bytes(found[0]["model"]) if found else train([], np.zeros(0, bool)).dump()
@@ -232,7 +244,7 @@ def score(docs: DataFrame, model: bytes, text: str = "text", column: str = "scor
         own = _machine(shared.value)
         for texts in batches:
             texts = [x if isinstance(x, str) else "" for x in texts]
-            yield pd.Series(np.concatenate([np.zeros(0), *(own.score(texts[a:b]) for a, b in tv.slices(texts))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(own.score(texts[a:b]) for a, b in tv.slices(texts, SLICE))]))
 
     return docs.withColumn(column, F.pandas_udf(run, "double")(F.col(text)))
 
