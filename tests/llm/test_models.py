@@ -173,3 +173,16 @@ def test_toxicity_odd_rows(spark, odd, none):
 def test_features_are_sets(texts):
     row, bucket = toxicity.once(*toxicity.features(texts))
     assert len({*zip(row.tolist(), bucket.tolist())}) == len(row)
+
+
+def test_languages_are_counted_in_little_memory():
+    """A worker shares its executor with the JVM: a batch of texts is counted a few code points at a time."""
+    import tracemalloc
+
+    rows = [(("alpha beta gamma " * 6000)[i : i + 100_000], "en") for i in range(40)]
+    langid.count(rows[:1])  # tables of code points stay
+    tracemalloc.start()
+    langid.count(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000

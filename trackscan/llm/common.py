@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,17 @@ def fresh(df: DataFrame, n: int) -> list[str]:
     return [c for c in (f"_own{i}" for i in range(n + len(taken))) if c not in taken][:n]
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system.
+
+    Workers are used again by later stages, and would else keep what the largest batch of each took.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of a column; null is empty."""
     return [x or "" for x in column.to_pylist()]

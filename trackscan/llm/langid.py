@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackscan.llm import textvec as tv
-from trackscan.llm.common import fold, fresh, share, strings
+from trackscan.llm.common import fold, fresh, give_back, share, strings
 
 #: Learned documents of each language, about; chosen by a hash of the id, texts taken whole.
 SAMPLE = 1500
@@ -189,11 +189,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for batch in batches:
             found = count(list(zip(strings(batch.column(0)), batch.column(1).to_pylist())))
             yield pa.RecordBatch.from_arrays([pa.array(found["order"]), pa.array(found["key"]), pa.array(found["lang"], pa.string()), pa.array(found["n"])], ["order", "key", "lang", "n"])
+            del found
+            give_back()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), pa.schema([("order", pa.int32()), ("key", pa.int64()), ("lang", pa.string()), ("n", pa.int64())]))
         made = build({c: table.column(c).to_numpy() for c in table.column_names})
+        del table
         yield pa.RecordBatch.from_arrays([pa.array([made.dump()], pa.binary())], ["model"])
+        del made
+        give_back()
 
     # what the one task gets is bounded by the words and n-grams of the sample
     every = picked.mapInArrow(counted, "order int, key bigint, lang string, n bigint").groupBy("order", "key", "lang").agg(F.sum("n").alias("n"))
@@ -226,6 +231,7 @@ def identify(docs: DataFrame, model: bytes, text: str = "text", lang_column: str
                 langs += found
                 scores.append(score)
             yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": np.concatenate(scores)})
+            give_back()
 
     own = fresh(docs, 1)[0]
     made = docs.withColumn(own, F.pandas_udf(predict, "lang string, score double")(F.col(text)))

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from trackscan.llm import bpe
 from trackscan.llm import textvec as tv
-from trackscan.llm.common import fresh, materialize, strings
+from trackscan.llm.common import fresh, give_back, materialize, strings
 
 SIZE = 2048
 END_ID = 0
@@ -67,6 +67,7 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = SIZE, key: str = "doc_i
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), bpe._pieces(whole, length)], ["k", "piece", "start", "length", "ids"]
                 )
+            give_back()
 
     return source.mapInArrow(work, f"k {kind}, piece int, start bigint, length bigint, ids binary").withColumnRenamed("k", key)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackscan.llm import textvec as tv
-from trackscan.llm.common import materialize, strings
+from trackscan.llm.common import give_back, materialize, strings
 from trackscan.operators.graph import connected_components
 
 WORDS, SEED, MOST, BITS = 4, 42, 4, 64
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
                     counts[i - a] = len(found)
                     hashes += found
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(majority(np.array(hashes, np.uint64), counts).view(np.int64))], ["k", "fp"])
+            give_back()
 
     return source.mapInArrow(work, f"k {kind}, fp bigint").withColumnRenamed("k", key)
 

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Code points handled at a time; a longer text makes a batch of its own.
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 500_000
 LIMIT = 0x110000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Odd multiplier of the rolling hash, and its inverse modulo 2**64.

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackscan.llm import textvec as tv
-from trackscan.llm.common import fold, fresh, share, strings
+from trackscan.llm.common import fold, fresh, give_back, share, strings
 
 #: Labelled documents that the machine learns from, about; chosen by a hash of the id, texts whole.
 SAMPLE = 12_000
@@ -118,10 +118,11 @@ def train(held: list[bytes], toxic: np.ndarray) -> Machine:
     if not len(held) or not toxic.any() or toxic.all():
         return Machine(-30.0 if not toxic.any() else 30.0, none.astype(np.int64), none, np.zeros((0, FACTORS)))
     n = len(held)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) // 4 for x in held])
+    sizes = [len(x) // 4 for x in held]
     bucket = np.frombuffer(b"".join(held), PACKED)
     held.clear()  # the texts' own buckets are all in one array now
-    several = np.bincount(bucket, minlength=1 << BITS) > 1
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    several = tally(bucket, 1 << BITS) > 1
     own = several[bucket]
     row, bucket = row[own], bucket[own]
     kept = np.flatnonzero(several)
@@ -132,23 +133,34 @@ def train(held: list[bytes], toxic: np.ndarray) -> Machine:
     share_of = np.where(toxic, p / (p + q) / toxic.sum(), q / (p + q) / (~toxic).sum())
     del bucket, own
     bias, weights = learn_weights(row, term, len(kept), toxic, share_of)
-    vectors = learn_vectors(row, term, len(kept), toxic, share_of, bias + np.bincount(row, weights[term], n))
+    linear = bias + sum((np.bincount(row[p], weights[term[p]], n) for p in parts(len(row))), np.zeros(n))
+    vectors = learn_vectors(row, term, len(kept), toxic, share_of, linear)
     return Machine(bias, kept, weights, vectors)
 
 
+def parts(n: int) -> list[slice]:
+    """n entries, PART at a time: what numpy makes of them is several times as large."""
+    return [slice(low, low + PART) for low in range(0, n, PART)]
+
+
+def tally(numbers: np.ndarray, k: int) -> np.ndarray:
+    """How often each number under k is met."""
+    return sum((np.bincount(numbers[p], minlength=k) for p in parts(len(numbers))), np.zeros(k, np.int64))
+
+
 def learn_weights(row: np.ndarray, term: np.ndarray, k: int, toxic: np.ndarray, share_of: np.ndarray) -> tuple[float, np.ndarray]:
     """Bias and weights: accelerated proximal gradient, each bucket's step from its own curvature bound."""
     n = len(toxic)
-    parts = [slice(low, low + PART) for low in range(0, len(row), PART)]
+    cuts = parts(len(row))
 
     def by_text(values: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(row[p], values[term[p]], n) for p in parts), np.zeros(n))
+        return sum((np.bincount(row[p], values[term[p]], n) for p in cuts), np.zeros(n))
 
     def by_bucket(values: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(term[p], values[row[p]], k) for p in parts), np.zeros(k))
+        return sum((np.bincount(term[p], values[row[p]], k) for p in cuts), np.zeros(k))
 
     penalty = TAU * np.sqrt(by_bucket((0.5 * share_of) ** 2))
-    step = 4 / np.maximum(by_bucket(share_of * np.bincount(row, minlength=n)), 1e-12)
+    step = 4 / np.maximum(by_bucket(share_of * tally(row, n)), 1e-12)
     weights = ahead = np.zeros(k)
     bias = bias_ahead = 0.0
     pace = 1.0
@@ -215,12 +227,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(packed(strings(batch.column(0))), pa.binary()), pa.array([y > 0 for y in batch.column(1).to_pylist()])], ["held", "toxic"])
+            give_back()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((held, toxic) for batch in batches for held, toxic in zip(*(c.to_pylist() for c in batch.columns)))  # the same machine from any order
         held, toxic = [held for held, _ in rows], np.array([toxic for _, toxic in rows], bool)
         rows.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([train(held, toxic).dump()], pa.binary())], ["model"])
+        give_back()
 
     found = rows.mapInArrow(pack, "held binary, toxic boolean").repartition(1).mapInArrow(work, "model binary").collect()
     return bytes(found[0]["model"]) if found else train([], np.zeros(0, bool)).dump()
@@ -245,6 +260,7 @@ def score(docs: DataFrame, model: bytes, text: str = "text", column: str = "scor
         for texts in batches:
             texts = [x if isinstance(x, str) else "" for x in texts]
             yield pd.Series(np.concatenate([np.zeros(0), *(own.score(texts[a:b]) for a, b in tv.slices(texts, SLICE))]))
+            give_back()
 
     return docs.withColumn(column, F.pandas_udf(run, "double")(F.col(text)))
 
